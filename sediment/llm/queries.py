@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality_rules
+from . import chat_format, mixing, quality_rules, secret_scan
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,7 +18,9 @@ def _over(name: str, op: Callable[[DataFrame], DataFrame]) -> Query:
 
 def queries() -> dict[str, Query]:
     return {
+        "op5_secret_scan": _over("documents", secret_scan.op5_secret_scan),
         "op6_quality_rules": _over("documents", quality_rules.op6_quality_rules),
+        "op7_chat_format": lambda spark, sf_dir: chat_format.op7_chat_format(chat_format.with_probe(spark, sf_dir)),
         "op9_mixing": _over("documents", mixing.op9_mixing),
     }
 
@@ -26,5 +28,6 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op6_quality_rules": quality_rules.ORACLE,
+        "op7_chat_format": chat_format.ORACLE,
         "op9_mixing": mixing.ORACLE,
     }
