@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, fingerprint, mixing, quality_rules, secret_scan
+from . import chat_format, fingerprint, minhash, mixing, quality_rules, secret_scan
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,7 @@ def _over(name: str, op: Callable[[DataFrame], DataFrame]) -> Query:
 def queries() -> dict[str, Query]:
     return {
         "op1_fingerprint": _over("documents", fingerprint.op1_fingerprint),
+        "op2_near_dedup": _over("documents", minhash.op2_near_dedup),
         "op5_secret_scan": _over("documents", secret_scan.op5_secret_scan),
         "op6_quality_rules": _over("documents", quality_rules.op6_quality_rules),
         "op7_chat_format": lambda spark, sf_dir: chat_format.op7_chat_format(chat_format.with_probe(spark, sf_dir)),
