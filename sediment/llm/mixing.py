@@ -78,12 +78,12 @@ def mixed(rows: DataFrame) -> DataFrame:
     rows = rows.drop("source_size", "target", "copies").withColumn("__bucket", _bucket(F.col("doc_id")))
     slim = rows.select("source", "size", "__bucket")
     by_bucket = slim.groupBy("source", "size", "__bucket").agg(F.count("*").alias("n"))
+    by_size = by_bucket.groupBy("source", "size").agg(F.sum("n").alias("n"))
+    goal = targets(by_size.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")))
     w = Window.partitionBy("source", "size").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     by_bucket = by_bucket.withColumn("in_size", F.coalesce(F.sum("n").over(w), F.lit(0)))
-    by_size = slim.groupBy("source", "size").agg(F.count("*").alias("n"))
     w = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
     by_size = by_size.withColumn("smaller", F.coalesce(F.sum("n").over(w), F.lit(0)))
-    goal = targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")))
 
     at = by_bucket.select("source", "size", "__bucket", "in_size").alias("b").join(
         by_size.select("source", "size", "smaller").alias("s"),
