@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, fingerprint, minhash, mixing, packing, pii, quality_rules, secret_scan
+from . import byte_cnn, chat_format, fingerprint, minhash, mixing, packing, pii, quality_rules, secret_scan
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_fingerprint": _over("documents", fingerprint.op1_fingerprint),
         "op2_near_dedup": _over("documents", minhash.op2_near_dedup),
+        "op3_quality_cnn": byte_cnn.op3_quality_cnn,
         "op4_pii": _over("documents", pii.op4_pii),
         "op5_secret_scan": _over("documents", secret_scan.op5_secret_scan),
         "op6_quality_rules": _over("documents", quality_rules.op6_quality_rules),
