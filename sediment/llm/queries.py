@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_cnn, chat_format, fingerprint, minhash, mixing, packing, pii, quality_rules, secret_scan
+from . import byte_cnn, chat_format, fingerprint, html_text, minhash, mixing, packing, pii, quality_rules, secret_scan
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,7 @@ def queries() -> dict[str, Query]:
         "op5_secret_scan": _over("documents", secret_scan.op5_secret_scan),
         "op6_quality_rules": _over("documents", quality_rules.op6_quality_rules),
         "op7_chat_format": lambda spark, sf_dir: chat_format.op7_chat_format(chat_format.with_probe(spark, sf_dir)),
+        "op8_html_text": _over("pages", html_text.op8_html_text),
         "op9_mixing": _over("documents", mixing.op9_mixing),
         "op10_packing": _over("documents", packing.op10_packing),
     }
