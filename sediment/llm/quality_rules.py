@@ -132,11 +132,16 @@ def judged(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES)
 
 
 def filtered(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows that every rule keeps, with the columns of ``docs``."""
+    """The rows that every rule keeps, with the columns of ``docs``.
+
+    A plain filter would be pushed below the measures, with every expression it names written out again and
+    again; exploding a row into itself or into nothing leaves them computed once.
+    """
     names = docs.columns
     clear = docs.select(*[F.col(f"`{c}`").alias(f"__in{i}") for i, c in enumerate(names)], F.col(text).alias("__body"))
-    kept = judged(clear, "__body", rules).where("kept")
-    return kept.select(*[F.col(f"__in{i}").alias(c) for i, c in enumerate(names)])
+    row = F.struct(*[F.col(f"__in{i}") for i in range(len(names))])
+    kept = judged(clear, "__body", rules).select(F.explode(F.when(F.col("kept"), F.array(row))).alias("r"))
+    return kept.select(*[F.col(f"r.__in{i}").alias(c) for i, c in enumerate(names)])
 
 
 def op6_quality_rules(docs: DataFrame) -> DataFrame:
