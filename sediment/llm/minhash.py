@@ -17,8 +17,9 @@ empty and linked with nothing). Two documents are linked if 100 * |A and B| >= 8
    of the sets bound the similarity from above, exactly.)
 5. *Exact.* The full sets of the survivors decide.
 6. *The rest.* Buckets that still hold more than one component are compared in full, in blocks of
-   ``BLOCK`` nodes by ``BLOCK`` nodes; pairs within one component need no look. Only survivors of step 4
-   are emitted, and step 5 decides again. So no link that a bucket shows is lost to the stars.
+   ``BLOCK`` nodes by ``BLOCK`` nodes: steps 4 and 5 in memory, a pair once, in the first band its nodes
+   share, and not at all once its ends are in one component. Only links that join components are emitted.
+   So no link that a bucket shows is lost to the stars, and no group's pairs are ever rows.
 
 The result has a row per input row. A row without an id is linked with nothing, its component is null
 and it is kept. Rows that repeat an id and a text fall in one class. An empty table gives an empty result.
@@ -45,7 +46,7 @@ PERCENT = 85
 PERMUTATIONS, BANDS, ROWS = 120, 24, 5
 BATCH = 24
 MISS = 1e-6
-BLOCK = 512
+BLOCK = 256
 #: Ids that may be broadcast to pick the texts whose sets are needed; with more, they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Bytes of a text that are split into words at once.
@@ -176,39 +177,82 @@ def _pruned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).take(pa.array(stay))
 
 
+class _Forest:
+    """Union-find over the components that meet in one block."""
+
+    def __init__(self, labels: np.ndarray):
+        self.own = np.unique(labels, return_inverse=True)[1]
+        self.up = list(range(int(self.own.max()) + 1)) if len(labels) else []
+
+    def root(self, x: int) -> int:
+        while self.up[x] != x:
+            self.up[x] = x = self.up[self.up[x]]
+        return x
+
+    def of(self, rows: np.ndarray) -> np.ndarray:
+        flat = np.array([self.root(x) for x in range(len(self.up))])
+        return flat[self.own[rows]]
+
+    def join(self, i: int, j: int) -> bool:
+        a, b = self.root(int(self.own[i])), self.root(int(self.own[j]))
+        self.up[max(a, b)] = min(a, b)
+        return a != b
+
+
+def _common(one: np.ndarray, many: list[np.ndarray]) -> np.ndarray:
+    """The sizes of the intersections of one sorted set with many."""
+    flat = np.concatenate(many)
+    at = one.searchsorted(flat)
+    at[at == len(one)] = 0
+    return np.add.reduceat(one[at] == flat, np.cumsum([0, *map(len, many[:-1])]))
+
+
 def _blockwise(rows: pa.Table) -> pa.Table:
-    """Pairs across components that no batch of minima prunes, in one block of a bucket."""
-    node, comp, side, n = (rows.column(c).to_numpy() for c in ("node", "component", "side", "n"))
+    """Links across components in one block of a bucket, as many as join components.
+
+    A pair is looked at in the first band that its nodes share. Signatures prune it, full sets decide; what is
+    joined by then needs no look.
+    """
+    node, comp, side, band, n = (rows.column(c).to_numpy() for c in ("node", "component", "side", "band", "n"))
     sig = _matrix(rows.column("signature").combine_chunks())
-    order = np.argsort(node, kind="stable")
-    node, comp, side, n, sig = node[order], comp[order], side[order], n[order], sig[order]
-    one = bool((side == 0).all())
-    left = np.arange(len(node)) if one else np.flatnonzero(side == 0)
-    right = left if one else np.flatnonzero(side == 1)
+    keys = np.array(rows.column("bands").to_pylist(), np.int64).reshape(len(node), BANDS)
+    items = [np.asarray(x.values).view(np.uint64) for x in rows.column("items").combine_chunks()]
+    one = bool((side == side[0]).all()) if len(side) else True
+    left = np.flatnonzero(side == side[0]) if len(side) else side
+    right = left if one else np.flatnonzero(side != side[0])
+    forest = _Forest(comp)
     out_a, out_b = [], []
     for i in left:
         to = right[right > i] if one else right
-        to = to[(comp[to] != comp[i]) & (100 * np.minimum(n[to], n[i]) >= PERCENT * np.maximum(n[to], n[i]))]
+        to = to[100 * np.minimum(n[to], n[i]) >= PERCENT * np.maximum(n[to], n[i])]
+        to = to[~(keys[to, : band[i]] == keys[i, : band[i]]).any(axis=1)]
+        to = to[forest.of(to) != forest.root(int(forest.own[i]))]
         if len(to):
             to = to[_likely(np.broadcast_to(sig[i], (len(to), PERMUTATIONS)), sig[to])]
-            out_a.append(np.minimum(node[to], node[i]))
-            out_b.append(np.maximum(node[to], node[i]))
-    cat = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
-    return pa.table({"a": pa.array(cat(out_a), pa.int64()), "b": pa.array(cat(out_b), pa.int64())})
+        if len(to):
+            both = _common(items[i], [items[j] for j in to])
+            for j in to[100 * both >= PERCENT * (n[i] + n[to] - both)]:
+                if forest.join(i, j):
+                    out_a.append(node[i]), out_b.append(node[j])
+    return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
 
 def _close(a: str, b: str):
     return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
 
 
+def _sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """``node, items``: the full sets of the documents with the ids ``node``."""
+    ids = written(ids.distinct(), "ids")
+    few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    texts = docs.select(F.col("doc_id").alias("node"), F.col("text").cast("binary").alias("body")).join(few, "node", "left_semi")
+    return written(texts.mapInArrow(_as_sets, "node long, items array<long>"), "sets")
+
+
 def _exact(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs ``a, b`` whose full sets reach the threshold."""
     pairs = written(pairs.distinct(), "pairs")
-    ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    ids = written(ids, "ids")
-    few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    texts = docs.select(F.col("doc_id").alias("node"), F.col("text").cast("binary").alias("body")).join(few, "node", "left_semi")
-    sets = written(texts.mapInArrow(_as_sets, "node long, items array<long>"), "sets")
+    sets = _sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), docs)
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("ia")), "a")
     both = both.join(sets.select(F.col("node").alias("b"), F.col("items").alias("ib")), "b")
     common = F.size(F.array_intersect("ia", "ib"))
@@ -217,8 +261,8 @@ def _exact(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _stars(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows ``key, node, rep, c`` of buckets with company, survivors of the comparison with ``rep``)."""
-    spread = nodes.select("node", F.explode("bands").alias("key"))
+    """(rows ``key, node, band, rep, c`` of buckets with company, survivors of the comparison with ``rep``)."""
+    spread = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     buckets = spread.groupBy("key").agg(F.min("node").alias("rep"), F.count("*").alias("c")).where("c > 1")
     rows = written(spread.join(buckets, "key"), "buckets")
     pairs = rows.where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct()
@@ -227,21 +271,22 @@ def _stars(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, pairs.mapInArrow(_pruned, "a long, b long")
 
 
-def _rest(rows: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
-    """Survivors among the pairs across components in buckets of three and more nodes."""
-    rows = rows.where("c > 2").select("key", "node", "c")
-    rows = rows.join(found, "node", "left").select("key", "node", "c", F.coalesce("component", "node").alias("component"))
+def _rest(rows: DataFrame, nodes: DataFrame, found: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links across components in buckets of three and more nodes, enough of them to join what is linked."""
+    rows = rows.where("c > 2").select("key", "node", "band", "c")
+    rows = rows.join(found, "node", "left").select("key", "node", "band", "c", F.coalesce("component", "node").alias("component"))
     open_keys = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    rows = rows.join(open_keys, "key")
+    rows = written(rows.join(open_keys, "key"), "open")
+    sets = _sets(rows.select("node"), docs)
     rows = rows.withColumn("blocks", F.ceil(F.col("c") / F.lit(BLOCK)).cast("int"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     met = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1),
         lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j"), (F.col("own") > k).cast("int").alias("side")),
     )
-    rows = rows.join(nodes.select("node", "signature", F.col("n_shingles").alias("n")), "node")
-    rows = rows.select("key", "node", "component", "signature", "n", F.explode(met).alias("m")).select("*", "m.*").drop("m")
-    return rows.groupBy("key", "i", "j").applyInArrow(_blockwise, "a long, b long")
+    rows = rows.select("key", "node", "band", "component", F.explode(met).alias("m")).select("key", "node", "band", "component", "m.*")
+    rows = rows.join(nodes.select("node", "signature", "bands", F.col("n_shingles").alias("n")), "node").join(sets, "node")
+    return written(rows.groupBy("key", "i", "j").applyInArrow(_blockwise, "a long, b long").distinct(), "links")
 
 
 def linked(docs: DataFrame) -> DataFrame:
@@ -256,7 +301,7 @@ def linked(docs: DataFrame) -> DataFrame:
     rows, likely = _stars(nodes)
     links = _exact(likely, docs)
     found = components(links)
-    more = _exact(_rest(rows, nodes, found), docs)
+    more = _rest(rows, nodes, found, docs)
     if not more.isEmpty():
         found = components(links.union(more))
     label = nodes.select("set_id", "node", "copies").join(found, "node", "left")

@@ -92,13 +92,31 @@ def test_pruning_bound_and_empty_table(spark):
 def test_blocks_cover_every_pair_across_components():
     import pyarrow as pa
 
-    rng = np.random.default_rng(0)
-    sig = rng.integers(0, 60000, (6, M.PERMUTATIONS)).astype(np.uint16)
-    sig[4] = sig[1]
-    t = pa.table({"node": list(range(6)), "component": [0, 0, 2, 3, 4, 5], "side": [0] * 6, "n": [10] * 6, "signature": [s.tobytes() for s in sig]})
-    assert M._blockwise(t).to_pylist() == [{"a": 1, "b": 4}]
-    t = t.set_column(2, "side", pa.array([0, 0, 0, 1, 1, 1]))
-    assert M._blockwise(t).to_pylist() == [{"a": 1, "b": 4}]
+    sets = [np.arange(k * 1000, k * 1000 + 100, dtype=np.int64) for k in range(6)]
+    sets[4] = np.concatenate([sets[1][:95], np.arange(9000, 9005)])
+    with np.errstate(over="ignore"):
+        sig = [M.signature(s.view(np.uint64)) for s in sets]
+        keys = [M.bands(s).tolist() for s in sig]
+    shared = next(k for k in range(M.BANDS) if keys[1][k] == keys[4][k])
+    rows = {"node": list(range(6)), "component": [0, 0, 2, 3, 4, 5], "side": [0] * 6, "band": [shared] * 6, "n": [100] * 6, "signature": [s.astype(np.uint16).tobytes() for s in sig], "bands": keys, "items": [s.tolist() for s in sets]}
+    assert M._blockwise(pa.table(rows)).to_pylist() == [{"a": 1, "b": 4}]
+    assert M._blockwise(pa.table(rows | {"side": [0, 0, 0, 1, 1, 1]})).to_pylist() == [{"a": 1, "b": 4}]
+    assert M._blockwise(pa.table(rows | {"band": [shared + 1] * 6})).to_pylist() == []
+    assert M._blockwise(pa.table(rows | {"component": [0, 0, 2, 3, 0, 5]})).to_pylist() == []
+
+
+def test_large_group_of_chained_edits(spark):
+    # Edits of one text, from slight to beyond the threshold, more of them than a block holds.
+    rng = random.Random(6)
+    base = [f"v{i}" for i in range(150)]
+    rows = []
+    for k in range(420):
+        w = list(base)
+        for _ in range(rng.randrange(0, 9)):
+            w[rng.randrange(150)] = f"e{k}"
+        rows.append((k, " ".join(w)))
+    got = M.op2_near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == sorted(brute(rows))
 
 
 def test_components(spark):
