@@ -1,0 +1,210 @@
+"""Reads, writes, runs and compaction against a plain dictionary."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from sediment.cli import Shell
+from sediment.engine import Engine, RateLimited
+from sediment.operators import compact, runs, view
+from sediment.operators.cursor import Cursor
+from sediment.schema import KVConfig, MUTATION
+
+BIG = KVConfig(wal_buffer_size=50)
+
+
+def log(spark, rows):
+    """(seq, op, key, value) rows."""
+    return spark.createDataFrame([(s, None, "u", o, k, v) for s, o, k, v in rows], MUTATION)
+
+
+def puts(spark, pairs):
+    return log(spark, [(i, "PUT", k, v) for i, (k, v) in enumerate(pairs)])
+
+
+def as_dict(df):
+    return {r.key: r.value for r in df.collect()}
+
+
+def test_ten_rows_in_byte_order(spark):
+    d = view.view(puts(spark, [(f"key{i}", f"value{i}") for i in range(1, 11)]))
+    rows = d.orderBy("key").collect()
+    assert [r.key for r in rows][:3] == ["key1", "key10", "key2"] and rows[0].value == "value1"
+
+
+def test_prefix_counts(spark):
+    d = puts(spark, [(f"key{i}", f"valueee{i}") for i in range(1, 1001)])
+    assert view.prefix(d, "key1").count() == 112
+    assert view.prefix(d, "").count() == 1000 and view.prefix(d, "key10000").count() == 0
+
+
+def test_random_log_matches_a_dictionary(spark):
+    rng = random.Random(1)
+    rows, truth = [], {}
+    for s in range(600):
+        k, op = rng.choice(["a", "b", "é", "日本", "Z", "key<!>", "k\n"]) + str(rng.randrange(30)), rng.choice(["PUT", "PUT", "DELETE"])
+        rows.append((s, op, k, f"v{s}<!>" if op == "PUT" else ""))
+        truth[k] = rows[-1][3] if op == "PUT" else None
+    shuffled = rows[:]
+    rng.shuffle(shuffled)
+    d = log(spark, shuffled)
+    live = {k: v for k, v in truth.items() if v is not None}
+    assert as_dict(view.view(d)) == live
+    assert {r.key: r.op for r in view.view(d, include_tombstones=True).collect()} == {k: "PUT" if v is not None else "DELETE" for k, v in truth.items()}
+    for p in ("a", "é", "日", "zz"):
+        assert as_dict(view.prefix(d, p)) == {k: v for k, v in live.items() if k.startswith(p)}
+    for lo, hi in (("a", "b"), ("Z", "a5"), ("b", "a"), ("a1", "a1"), ("é", "日本9")):
+        assert as_dict(view.key_range(d, lo, hi)) == {k: v for k, v in live.items() if lo.encode() <= k.encode() <= hi.encode()}
+    # Deletions in an older part and puts in a newer one, however the log is cut.
+    for cut in (100, 300, 599):
+        new, old = d.where(F.col("seq") >= cut), d.where(F.col("seq") < cut)
+        assert as_dict(view.tiers(new, old)) == live
+
+
+def test_value_filter_belongs_above_the_latest_version(spark):
+    d = log(spark, [(1, "PUT", "k", "old"), (2, "PUT", "k", "new")])
+    assert view.view(d).where(F.col("value") == "old").count() == 0
+
+
+def test_pages(spark):
+    d = view.view(puts(spark, [(f"{i:02d}", str(i)) for i in range(25)]))
+    assert [r.key for r in view.page(d, 3, 10).collect()] == [f"{i:02d}" for i in range(20, 25)]
+    assert view.page(d, 4, 10).collect() == [] and view.page(d, 1, 0).collect() == []
+    for bad in ((0, 10), (1, -1)):
+        with pytest.raises(ValueError):
+            view.page(d, *bad)
+
+
+def test_cursor(spark):
+    c = Cursor(view.view(puts(spark, [("a", "1"), ("b", "2"), ("c", "3")])))
+    assert c.next() == ("a", "1", True) and c.has_next()
+    c.stop()
+    assert c.next() == ("", "", False) and not c.has_next()
+    c.reset()
+    assert list(c) == [("a", "1"), ("b", "2"), ("c", "3")]
+    assert c.next() == ("", "", False)
+    c.reset()
+    c.next(), c.next()
+    assert c.next() == ("c", "3", False)
+    steps = {r.key: r.has_next for r in view.steps(view.view(puts(spark, [("a", "1"), ("b", "2")]))).collect()}
+    assert steps == {"a": True, "b": False}
+
+
+def test_pushed_filters(spark, tmp_path):
+    puts(spark, [(f"k{i}", "v") for i in range(10)]).write.parquet(f"{tmp_path}/log")
+    d = spark.read.schema(MUTATION).parquet(f"{tmp_path}/log")
+    plan = view.prefix(d, "k1")._jdf.queryExecution().toString()
+    assert "StringStartsWith(key,k1)" in plan
+    assert "user:string" not in plan.split("ReadSchema")[1]
+    plan = view.key_range(d, "k1", "k2")._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(key,k1)" in plan and "LessThanOrEqual(key,k2)" in plan
+
+
+def test_merge_policies(spark):
+    r = spark.createDataFrame(
+        [("a", "DELETE", "", 1, "0"), ("a", "PUT", "x", 9, "1"), ("b", "PUT", "p", 2, "0"), ("b", "PUT", "q", 8, "1"), ("c", "DELETE", "", 7, "1")],
+        "key string, op string, value string, seq long, run_id string",
+    )
+    newest = {x.key: (x.op, x.value) for x in compact.merge(r).collect()}
+    assert newest == {"a": ("PUT", "x"), "b": ("PUT", "q"), "c": ("DELETE", "")}
+    wins = {x.key: (x.op, x.value) for x in compact.merge(r, compact.TOMBSTONE_WINS).collect()}
+    assert wins == {"a": ("DELETE", ""), "b": ("PUT", "p"), "c": ("DELETE", "")}
+    assert {x.key for x in compact.merge(r, purge=True).collect()} == {"a", "b"}
+    once = compact.merge(r)
+    assert {tuple(x) for x in compact.merge(once).collect()} == {tuple(x) for x in once.collect()}
+    with pytest.raises(ValueError):
+        compact.merge(r, "oldest")
+
+
+def test_store_life(spark, tmp_path):
+    rng = random.Random(4)
+    e, truth = Engine(spark, str(tmp_path / "s"), BIG), {}
+    for step in range(4):
+        for i in range(40):
+            k = f"key{rng.randrange(25)}"
+            if rng.random() < 0.3:
+                e.delete("u", k)
+                truth.pop(k, None)
+            else:
+                e.put("u", k, f"v{step}.{i}")
+                truth[k] = f"v{step}.{i}"
+        assert as_dict(e.view()) == truth
+        e.flush()
+        assert as_dict(e.view()) == truth
+    assert {(r.level, r.n_runs) for r in e.stats().collect()} == {(0, 4)}
+    assert e.compact() == 3
+    assert as_dict(e.view()) == truth
+    assert {r.level for r in e.stats().collect()} == {2} and e.runs().where("op = 'DELETE'").count() == 0
+    e.put("u", "zz", "tail")
+    e.close()
+    again = Engine(spark, str(tmp_path / "s"), BIG)  # the log is recovered
+    assert again.get("u", "zz") == "tail" and as_dict(again.view()) == truth | {"zz": "tail"}
+    again.put("u", "zz", "newer")
+    assert again.get("u", "zz") == "newer"
+    with pytest.raises(ValueError):
+        again.put("u", "", "x")
+
+
+def test_bulk_write_and_multi_get(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "b"), BIG)
+    e.write(puts(spark, [(f"k{i}", "old") for i in range(20)]))
+    e.put("u", "k3", "new")
+    e.write(puts(spark, [("k4", "newer")]))
+    keys = spark.createDataFrame([("k3",), ("k4",), ("k5",), ("none",), ("k3",)], "key string")
+    assert as_dict(e.multi_get(keys)) == {"k3": "new", "k4": "newer", "k5": "old"}
+
+
+def test_rate_limit(spark, tmp_path):
+    now = [1000]
+    e = Engine(spark, str(tmp_path / "r"), KVConfig(max_token=2, wal_buffer_size=100), clock=lambda: now[0])
+    e.put("a", "k", "1"), e.put("a", "k", "2")
+    with pytest.raises(RateLimited):
+        e.put("a", "k", "3")
+    e.put("b", "k", "4")
+    now[0] += 10
+    e.put("a", "k", "5")
+    assert [r.key for r in e.prefix_scan("k", 1, 5).collect()] == ["k"]  # scans are not metered
+
+
+def test_shell(spark, tmp_path):
+    s = Shell(Engine(spark, str(tmp_path / "c"), BIG))
+    assert s.run('put  k1   two   "words"') == "OK" and s.run("GET k1") == 'two "words"'
+    assert s.run("put k2 x") == "OK" and s.run("put k3 y") == "OK"
+    assert s.run("del k2") == "OK" and s.run("get k2") == "not found"
+    assert s.run("put k3 <KURTCOBAIN!>") == "OK" and s.run("get k3") == "not found"
+    assert s.run("PREFIX_SCAN k 1 10") == 'k1 two "words"'
+    assert s.run("put k4 z") == "OK" and s.run("range_scan k2 k9 1 10") == "k4 z"
+    assert s.run("RANGE_SCAN k2") == "usage: RANGE_SCAN <low> <high> <page> <size>"
+    assert s.run("prefix_scan k 0 10").startswith("error") and s.run("what").startswith("unknown")
+    assert s.run("PREFIX_ITERATE k").startswith("next")
+    assert [s.run(x) for x in ("has_next", "next", "next", "next", "reset", "next", "stop")] == ["true", 'k1 two "words"', "k4 z", "end", "OK", 'k1 two "words"', "OK"]
+    assert s.run("stats") == "no runs"
+    s.engine.flush()
+    assert s.run("STATS").startswith("level 0: 1 runs, 4 entries")
+    assert "RANGE_SCAN" in s.run("h") and s.run("") == "" and s.run("q") == "bye" and not s.open
+
+
+def test_config():
+    assert KVConfig.from_json('{"MAX_TOKEN": 5, "BLOCK_SIZE": 64}') == KVConfig(max_token=5, block_size=64)
+    with pytest.raises(ValueError):
+        KVConfig.from_json('{"CACHE_CAPCAITY": 1}')
+
+
+def test_summary_seek_and_plan(spark):
+    rng = random.Random(3)
+    rows = [(rng.randrange(3), f"k{rng.randrange(60):02d}") for _ in range(150)]
+    d = spark.createDataFrame(rows, "run_id int, key string")
+    s = runs.sparse_summary(d, 3)
+    have = {}
+    for r in s.collect():
+        have.setdefault(r.run_id, []).append(r.key)
+    for run, keys in have.items():
+        own = sorted({k for r, k in rows if r == run})
+        assert sorted(keys) == sorted({k for i, k in enumerate(own) if i % 3 == 0} | {own[-1]})
+    probes = spark.createDataFrame([(f"k{i:02d}",) for i in range(0, 70, 5)] + [("a",)], "key string")
+    for r in runs.summary_seek(s, probes).collect():
+        assert r.summary_key == max((k for k in have[r.run_id] if k <= r.probe), default=None)
+    m = spark.createDataFrame([(0, f"r{i}") for i in range(5)] + [(1, "x"), (2, "y"), (2, "z")], "level int, run_id string")
+    p = {(r.level, r.run_id): r.batch for r in compact.plan(m, 2, 2).collect()}
+    assert p == {(0, "r0"): 0, (0, "r1"): 0, (0, "r2"): 1, (0, "r3"): 1}
