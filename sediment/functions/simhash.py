@@ -20,17 +20,17 @@ def tokens(text: Column) -> Column:
 
 def simhash(docs: DataFrame, key: str, features: Column) -> DataFrame:
     """``key, hash`` (BIGINT bits): a bit is set if more features, repeats included, have it than not; without features
-    it is 0. Partial sums are formed where the features are, so a row per key and task is shuffled."""
-    rows = docs.select(key, F.explode_outer(features).alias("f"))
-    h = md5_bits(F.col("f"))
-    rows = rows.select(key, h.alias("h"))
-    votes = [F.sum(F.when(F.col("h").bitwiseAND(F.lit(1 << i if i < 63 else -(1 << 63))) != 0, 1).when(F.col("h").isNotNull(), -1)).alias(f"b{i}") for i in range(64)]
-    sums = rows.groupBy(key).agg(*votes)
-    bits = [F.when(F.col(f"b{i}") > 0, F.lit(1 << i if i < 63 else -(1 << 63))).otherwise(F.lit(0)).cast("long") for i in range(64)]
-    out = bits[0]
-    for b in bits[1:]:
-        out = out.bitwiseOR(b)
-    return sums.select(key, out.alias("hash"))
+    it is 0. Partial sums are formed where the features are, so a row per key and task is shuffled.
+
+    Bits i and i + 32 are counted in the two halves of one number, which makes 32 sums of 64.
+    """
+    rows = docs.select(key, F.explode_outer(features).alias("f")).select(key, md5_bits(F.col("f")).alias("h"))
+    pair = F.lit((1 << 32) | 1)
+    sums = rows.groupBy(key).agg(F.count("h").alias("n"), *[F.sum(F.shiftrightunsigned("h", i).bitwiseAND(pair)).alias(f"c{i}") for i in range(32)])
+    low = [F.col(f"c{i}").bitwiseAND(F.lit((1 << 32) - 1)) for i in range(32)]
+    counts = low + [F.shiftrightunsigned(f"c{i}", 32) for i in range(32)]
+    bits = [F.when(2 * c > F.col("n"), F.lit(1 << i if i < 63 else -(1 << 63))).otherwise(F.lit(0)).cast("long") for i, c in enumerate(counts)]
+    return sums.select(key, F.aggregate(F.array(*bits), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b)).alias("hash"))
 
 
 def hamming(a: Column, b: Column) -> Column:
