@@ -58,3 +58,13 @@ def check_prefixes(bits: DataFrame, probes: DataFrame, m: int, k: int, least: in
     cut = asked.select("probe", F.substring("probe", 1, most).alias("key"))
     found = check(bits, cut.where(F.length("probe") >= least), m, k)
     return cut.join(found, "key", "left").select(F.col("probe").alias("key"), F.when(F.length("probe") < least, F.lit(True)).otherwise(F.coalesce("present", F.lit(False))).alias("present"))
+
+
+def gate(keys: DataFrame, by: str, probes: DataFrame, m: int, k: int) -> DataFrame:
+    """``by, key``: for each probe the groups (runs) whose own filter of ``m`` bits says it may be there. A run that is
+    not named needs no reading. Bits of a probe meet bits of runs in one equi-join; probes are never paired with runs."""
+    bits = keys.select(by, F.explode(_bits(F.col("key"), m, k)).alias("bit")).distinct()
+    asked = probes.select("key").distinct().select("key", F.explode(F.array_distinct(_bits(F.col("key"), m, k))).alias("bit"))
+    asked = asked.withColumn("__need", F.size(F.array_distinct(_bits(F.col("key"), m, k))))
+    met = asked.join(bits, "bit").groupBy(by, "key").agg(F.count("*").alias("__met"), F.first("__need").alias("__need"))
+    return met.where(F.col("__met") == F.col("__need")).select(by, "key")

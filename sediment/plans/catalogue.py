@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import bloom, cms, hll, simhash
+from ..functions import bloom, cms, hll, serial, simhash
 from ..functions.hashing import seed_hex
 from ..operators import compact, integrity, limiter, runs, view
 from ..schema import KVConfig
@@ -273,6 +273,11 @@ def hll_estimate(spark, sf_dir):
     return hll.estimate(hll.registers(M.read(spark, sf_dir, "lineitem"), F.col("l_partkey"), _P), _P)
 
 
+@query(f"WITH {_REGISTERS} SELECT '{_P:02X}{_M:08X}' || string_agg(printf('%02X', coalesce(rank, 0)), '' ORDER BY i) AS sketch FROM range(0, {_M}) z(i) LEFT JOIN r ON r.idx = i")
+def hll_serialize(spark, sf_dir):
+    return serial.hll_bytes(hll.registers(M.read(spark, sf_dir, "lineitem"), F.col("l_partkey"), _P), _P).select(F.hex("sketch").alias("sketch"))
+
+
 _EPS, _DELTA = 0.01, 0.01
 _W, _D = cms.width(_EPS), cms.depth(_DELTA)
 _SEEDS = ", ".join(f"({i}, '{seed_hex(i)}')" for i in range(_D))
@@ -291,6 +296,13 @@ def cms_estimate(spark, sf_dir):
     return cms.estimate(cms.cells(log, F.col("key"), _EPS, _DELTA), log.select(F.col("key").alias("item")), _EPS, _DELTA)
 
 
+@query(
+    f"WITH {_CELLS} SELECT '434D533101{_W:08X}{_D:08X}' || string_agg(printf('%016X', coalesce(n, 0)), '' ORDER BY z.i) AS sketch FROM range(0, {_W * _D}) z(i) LEFT JOIN t ON t.row * {_W} + t.col = z.i"
+)
+def cms_serialize(spark, sf_dir):
+    return serial.cms_bytes(cms.cells(M.events_by_type(spark, sf_dir), F.col("key"), _EPS, _DELTA), _W, _D).select(F.hex("sketch").alias("sketch"))
+
+
 _NATIONS = 25
 _BM = bloom.bits_for(_NATIONS, 0.01)
 _BK = bloom.hashes_for(_NATIONS, _BM)
@@ -331,6 +343,22 @@ def bloom_false_positive_rate(spark, sf_dir):
     return absent.agg(F.count("*").alias("n_absent"), F.sum(F.col("present").cast("long")).alias("n_false"))
 
 
+# Runs hold several hundred keys each; a filter a run decides which of them a point read must open.
+_GM, _GK = bloom.bits_for(1000, 0.01), bloom.hashes_for(1000, bloom.bits_for(1000, 0.01))
+_GSEEDS = ", ".join(f"({i}, '{seed_hex(i)}')" for i in range(_GK))
+
+
+@query(
+    f"""WITH {_RUNS}, q(i, seed) AS (VALUES {_GSEEDS}), b AS (SELECT DISTINCT run_id, {_hit("k", _GM)} AS bit FROM l, q),
+    p AS (SELECT DISTINCT event_type || ':' || lpad((user_id * 7 % 500)::VARCHAR, 6, '0') AS key FROM events), h AS (SELECT DISTINCT key, {_hit("key", _GM)} AS bit FROM p, q),
+    n AS (SELECT key, count(*) AS need FROM h GROUP BY key) SELECT run_id, key FROM h JOIN b USING (bit) JOIN n USING (key) GROUP BY run_id, key, need HAVING count(*) = need"""
+)
+def run_bloom_gate(spark, sf_dir):
+    e = M.read(spark, sf_dir, "events")
+    probes = e.select(F.concat("event_type", F.lit(":"), F.lpad((F.col("user_id") * 7 % 500).cast("string"), 6, "0")).alias("key"))
+    return bloom.gate(M.event_runs(spark, sf_dir), "run_id", probes, _GM, _GK)
+
+
 _PREFIXES = "g AS (SELECT DISTINCT substr(p_name, 1, i) AS key FROM part, range(1, 11) r(i) WHERE i <= length(p_name))"
 
 

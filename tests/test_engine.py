@@ -188,7 +188,7 @@ def test_shell(spark, tmp_path):
 def test_config():
     assert KVConfig.from_json('{"MAX_TOKEN": 5, "BLOCK_SIZE": 64}') == KVConfig(max_token=5, block_size=64)
     with pytest.raises(ValueError):
-        KVConfig.from_json('{"CACHE_CAPCAITY": 1}')
+        KVConfig.from_json('{"NO_SUCH_SETTING": 1}')
 
 
 def test_summary_seek_and_plan(spark):

@@ -10,7 +10,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from sediment.functions import bloom, cms, hll, simhash
+from sediment.functions import bloom, cms, hll, serial, simhash
 from sediment.functions.hashing import seed_hex
 from sediment.operators import integrity, limiter
 from sediment.schema import MUTATION
@@ -209,3 +209,35 @@ def test_limiter_replay_is_the_online_check(spark, strict):
     got = limiter.replay(spark.createDataFrame(rows, "user string, seq long, ts long"), 3, 0.02, strict)
     assert {r.seq: (r.allowed, r.tokens) for r in got.collect()} == want
     assert {a for a, _ in want.values()} == {True, False} or not strict
+
+
+def test_sketches_as_bytes(spark):
+    d = strings(spark, [f"k{i % 37}" for i in range(300)])
+    reg = hll.registers(d, F.col("key"), 6)
+    raw = serial.hll_bytes(reg, 6)
+    body = bytes(raw.first().sketch)
+    assert body[:5] == struct.pack(">BI", 6, 64) and list(body[5:]) == [{r.idx: r["rank"] for r in reg.collect()}.get(i, 0) for i in range(64)]
+    assert {tuple(r) for r in serial.hll_registers(raw.union(raw)).collect()} == {tuple(r) for r in reg.collect()}
+    cells = cms.cells(d, F.col("key"), 0.2, 0.2)
+    w, n = cms.width(0.2), cms.depth(0.2)
+    raw = serial.cms_bytes(cells, w, n)
+    table = {(r.row, r.col): r.n for r in cells.collect()}
+    assert bytes(raw.first().sketch) == b"CMS1\x01" + struct.pack(f">II{w * n}Q", w, n, *[table.get(divmod(i, w), 0) for i in range(w * n)])
+    assert {(r.row, r.col): r.n for r in serial.cms_cells(raw.union(raw)).collect()} == {k: 2 * v for k, v in table.items()}
+    with pytest.raises(Exception, match="not a Count-Min sketch"):
+        serial.cms_cells(spark.createDataFrame([(bytearray(b"other bytes here"),)], "sketch binary")).collect()
+    bits_ = bloom.build(d, 500, 3)
+    raw = serial.bloom_bytes(bits_, 500, 3)
+    assert len(raw.first().sketch) == 8 + 500 + 12
+    assert {r.bit for r in serial.bloom_bits(raw).collect()} == {r.bit for r in bits_.collect()}
+    for h in (0, 5, -1, -(1 << 63)):
+        r = spark.range(1).select(serial.simhash_bytes(F.lit(h)).alias("b")).select("b", serial.simhash_of(F.col("b")).alias("h")).first()
+        assert bytes(r.b) == struct.pack(">q", h) and r.h == h
+
+
+def test_gate_names_every_run_that_holds_a_key(spark):
+    rows = [(i % 4, f"k{i * 13 % 101}") for i in range(200)]
+    d = spark.createDataFrame(rows, "run int, key string")
+    m, k = bloom.bits_for(50, 0.01), bloom.hashes_for(50, bloom.bits_for(50, 0.01))
+    got = {(r.run, r.key) for r in bloom.gate(d, "run", strings(spark, [f"k{i}" for i in range(150)]), m, k).collect()}
+    assert set(rows) <= got and len(got) < len(set(rows)) + 40
