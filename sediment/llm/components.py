@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -35,7 +35,8 @@ def components(edges: DataFrame) -> DataFrame:
     e = written(edges.select("a", "b").where("a <> b").distinct(), "edges")
     state = _state(e)
     while state[0]:
-        e = written(_small_star(_large_star(e)), "edges")
+        old, e = e, written(_small_star(_large_star(e)), "edges")
+        discard(old)
         new = _state(e)
         if new == state:
             break

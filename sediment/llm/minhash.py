@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import arrow_batches, discard, written
 from .components import components
 
 SHINGLE = 5
@@ -49,6 +49,8 @@ MISS = 1e-6
 BLOCK = 256
 #: Ids that may be broadcast to pick the texts whose sets are needed; with more, they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Rows that a Python worker holds at once.
+BATCH_ROWS = 512
 #: Bytes of a text that are split into words at once.
 PIECE = 1 << 22
 
@@ -246,7 +248,9 @@ def _sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
     ids = written(ids.distinct(), "ids")
     few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     texts = docs.select(F.col("doc_id").alias("node"), F.col("text").cast("binary").alias("body")).join(few, "node", "left_semi")
-    return written(texts.mapInArrow(_as_sets, "node long, items array<long>"), "sets")
+    sets = written(texts.mapInArrow(_as_sets, "node long, items array<long>"), "sets")
+    discard(ids)
+    return sets
 
 
 def _exact(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -257,7 +261,9 @@ def _exact(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     both = both.join(sets.select(F.col("node").alias("b"), F.col("items").alias("ib")), "b")
     common = F.size(F.array_intersect("ia", "ib"))
     union = F.size("ia") + F.size("ib") - common
-    return written(both.where(100 * common >= PERCENT * union).select("a", "b").distinct(), "links")
+    links = written(both.where(100 * common >= PERCENT * union).select("a", "b").distinct(), "links")
+    discard(pairs, sets)
+    return links
 
 
 def _stars(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -278,6 +284,7 @@ def _rest(rows: DataFrame, nodes: DataFrame, found: DataFrame, docs: DataFrame)
     open_keys = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
     rows = written(rows.join(open_keys, "key"), "open")
     sets = _sets(rows.select("node"), docs)
+    open_rows = rows
     rows = rows.withColumn("blocks", F.ceil(F.col("c") / F.lit(BLOCK)).cast("int"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     met = F.transform(
@@ -286,24 +293,29 @@ def _rest(rows: DataFrame, nodes: DataFrame, found: DataFrame, docs: DataFrame)
     )
     rows = rows.select("key", "node", "band", "component", F.explode(met).alias("m")).select("key", "node", "band", "component", "m.*")
     rows = rows.join(nodes.select("node", "signature", "bands", F.col("n_shingles").alias("n")), "node").join(sets, "node")
-    return written(rows.groupBy("key", "i", "j").applyInArrow(_blockwise, "a long, b long").distinct(), "links")
+    links = written(rows.groupBy("key", "i", "j").applyInArrow(_blockwise, "a long, b long").distinct(), "links")
+    discard(open_rows, sets)
+    return links
 
 
 def linked(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, set_id, component_id, kept`` for each row of ``docs`` (``doc_id, text``)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    every = written(sketch(docs), "sketch")
-    classes = every.where("set_id IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_id").agg(
-        F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"),
-        F.first("signature").alias("signature"), F.first("bands").alias("bands"),
-    )
-    nodes = written(classes, "nodes")
-    rows, likely = _stars(nodes)
-    links = _exact(likely, docs)
-    found = components(links)
-    more = _rest(rows, nodes, found, docs)
-    if not more.isEmpty():
-        found = components(links.union(more))
+    # The result reads the sketch, the nodes and the components; all other tables go once they are used.
+    with arrow_batches(docs.sparkSession, BATCH_ROWS):
+        every = written(sketch(docs), "sketch")
+        classes = every.where("set_id IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_id").agg(
+            F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"),
+            F.first("signature").alias("signature"), F.first("bands").alias("bands"),
+        )
+        nodes = written(classes, "nodes")
+        rows, likely = _stars(nodes)
+        links = _exact(likely, docs)
+        found = components(links)
+        more = _rest(rows, nodes, found, docs)
+        if not more.isEmpty():
+            found = components(links.union(more))
+        discard(rows, links, more)
     label = nodes.select("set_id", "node", "copies").join(found, "node", "left")
     label = label.select("set_id", F.coalesce("component", "node").alias("component"), "copies", "node")
     label = label.where("copies > 1 OR component <> node").select("set_id", "component")
@@ -315,7 +327,7 @@ def linked(docs: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay: one of each group, and all that have no id."""
-    gone = linked(docs)
+    gone = written(linked(docs), "decisions")
     again = not gone.where("doc_id IS NOT NULL").groupBy("doc_id", "set_id").count().where("count > 1").isEmpty()
     drop = written(gone.where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
     few = F.broadcast(drop) if drop.count() <= BROADCAST_IDS else drop
@@ -328,3 +340,18 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
 def op2_near_dedup(docs: DataFrame) -> DataFrame:
     return linked(docs).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+ORACLE = f"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+g AS (SELECT doc_id, ws, unnest(range(0, greatest(len(ws) - {SHINGLE - 1}, least(len(ws), 1)))) AS i FROM w),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i + 1 : i + {SHINGLE}], ' ') AS sh FROM g),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM c JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= {PERCENT} * (a.n + b.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, e.y FROM r JOIN e ON e.x = r.y),
+m AS (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY x)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d JOIN m ON m.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""
