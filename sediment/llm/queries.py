@@ -34,6 +34,8 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_fingerprint": fingerprint.ORACLE,
+        "op2_near_dedup": minhash.ORACLE,
+        "op5_secret_scan": secret_scan.ORACLE,
         "op6_quality_rules": quality_rules.ORACLE,
         "op7_chat_format": chat_format.ORACLE,
         "op9_mixing": mixing.ORACLE,
