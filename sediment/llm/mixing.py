@@ -69,38 +69,38 @@ def _bucket(doc_id: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, 3), 16, 10).cast("int")
 
 
-def _same(a: Column, b: Column) -> Column:
-    return a.eqNullSafe(b)
-
-
 def mixed(rows: DataFrame) -> DataFrame:
-    """``rows`` (with ``doc_id, source, size``) plus ``source_size, target, copies``."""
-    rows = rows.drop("source_size", "target", "copies").withColumn("__bucket", _bucket(F.col("doc_id")))
-    slim = rows.select("source", "size", "__bucket")
-    by_bucket = slim.groupBy("source", "size", "__bucket").agg(F.count("*").alias("n"))
-    by_size = by_bucket.groupBy("source", "size").agg(F.sum("n").alias("n"))
-    goal = targets(by_size.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")))
-    w = Window.partitionBy("source", "size").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    by_bucket = by_bucket.withColumn("in_size", F.coalesce(F.sum("n").over(w), F.lit(0)))
-    w = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
-    by_size = by_size.withColumn("smaller", F.coalesce(F.sum("n").over(w), F.lit(0)))
-
-    at = by_bucket.select("source", "size", "__bucket", "in_size").alias("b").join(
-        by_size.select("source", "size", "smaller").alias("s"),
-        _same(F.col("b.source"), F.col("s.source")) & (F.col("b.size") == F.col("s.size")),
-    ).select("b.source", "b.size", "b.__bucket", (F.col("in_size") + F.col("smaller")).alias("__before"))
-    at = at.alias("a").join(goal.alias("g"), _same(F.col("a.source"), F.col("g.source"))).select("a.*", "source_size", "target")
-
-    place = Window.partitionBy("source", "size", "__bucket").orderBy("doc_id")
-    placed = rows.withColumn("__row", F.row_number().over(place)).alias("r").join(
-        at.alias("a"),
-        _same(F.col("r.source"), F.col("a.source")) & (F.col("r.size") == F.col("a.size")) & (F.col("r.__bucket") == F.col("a.__bucket")),
-    ).select("r.*", "source_size", "target", "__before")
+    """``rows`` (with ``doc_id, source, size``) plus ``source_size, target, copies``.
+
+    The rows are shuffled once: the key that numbers them is the key that joins the counts before them, with the null
+    source written as a value of its own.
+    """
+    named = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))
+    rows = rows.drop("source_size", "target", "copies").withColumn("__bucket", _bucket(F.col("doc_id"))).withColumn("__source", named)
+    # One histogram, of which the others are sums: its exchange is reused, so the texts are read for it once.
+    by_bucket = rows.groupBy("__source", "size", "__bucket").agg(F.count("*").alias("n"))
+    by_size = by_bucket.groupBy("__source", "size").agg(F.sum("n").alias("n"))
+    sizes = by_size.groupBy("__source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"))
+    source = F.when(F.col("__source") != "n", F.substring("__source", 2, 1 << 30))
+    goal = targets(sizes.select(source.alias("source"), "source_size")).withColumn("__source", named)
+
+    def before(*by: str):
+        return Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+
+    in_size = F.coalesce(F.sum("n").over(before("__source", "size", "__bucket")), F.lit(0))
+    smaller = F.coalesce(F.sum("n").over(before("__source", "size")), F.lit(0))
+    at = by_bucket.select("__source", "size", "__bucket", in_size.alias("in_size"))
+    at = at.join(by_size.select("__source", "size", smaller.alias("smaller")), ["__source", "size"])
+    at = at.join(goal.drop("source"), "__source").withColumn("__before", F.col("in_size") + F.col("smaller")).drop("in_size", "smaller")
+
+    place = Window.partitionBy("__source", "size", "__bucket").orderBy("doc_id")
+    placed = rows.withColumn("__row", F.row_number().over(place)).join(at, ["__source", "size", "__bucket"])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size").cast("double")).otherwise(F.lit(0.0))
     offset = unit_interval(F.col("source"), F.lit(SEED))
-    place = F.col("__before") + F.col("__row")
-    copies = F.floor(place * rate + offset) - F.floor((place - 1) * rate + offset)
-    return placed.withColumn("copies", F.least(copies, F.lit(MAX_COPIES)).cast("long")).drop("__bucket", "__row", "__before")
+    number = F.col("__before") + F.col("__row")
+    copies = F.floor(number * rate + offset) - F.floor((number - 1) * rate + offset)
+    placed = placed.withColumn("copies", F.least(copies, F.lit(MAX_COPIES)).cast("long"))
+    return placed.drop("__source", "__bucket", "__row", "__before")
 
 
 def sized(docs: DataFrame, text: str = "text") -> DataFrame:
