@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,10 +10,13 @@ from pyspark.sql import functions as F
 
 from ..functions import bloom, cms, hll, serial, simhash
 from ..functions.hashing import seed_hex
+from ..functions.plan import spread
+from ..functions.shared import shared_dir
 from ..operators import compact, integrity, limiter, runs, view
 from ..schema import KVConfig
 from ..sources import mutations as M
 from ..sources import wal
+from ..streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 CONFIG = KVConfig()
@@ -249,6 +253,16 @@ def wal_truncate(spark, sf_dir):
     return wal.truncate(M.events_by_user(spark, sf_dir), _CUT).select("seq", "op", "key", "value")
 
 
+@query(f"WITH {_BY_USER}, {_LATEST} SELECT key, value FROM m WHERE op <> 'DELETE'")
+def stream_ingest(spark, sf_dir):
+    """The log as a stream, written as runs by micro-batches, and the view of those runs."""
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    # A pattern, as a stream takes one for a file and for a folder alike.
+    events = spark.readStream.schema(M.read(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")
+    ingest.into_runs(M.user_log(events), f"{base}/runs", f"{base}/progress").awaitTermination()
+    return view.view(runs.open_runs(spark, f"{base}/runs"))
+
+
 # Sketches.
 
 _P = hll.precision(0.01)
@@ -396,7 +410,8 @@ _SIM = """k AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(coalesce
 
 
 def _hashed(spark, sf_dir):
-    return simhash.simhash(M.read(spark, sf_dir, "documents"), "doc_id", simhash.tokens(F.col("text")))
+    docs = spread(M.read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return simhash.simhash(docs, "doc_id", simhash.tokens(F.col("text")))
 
 
 @query(f"WITH {_SIM} SELECT doc_id, lower(lpad(hex(hash), 16, '0')) AS hash FROM s")

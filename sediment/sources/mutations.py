@@ -43,15 +43,18 @@ def events_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log_of(e, F.concat("event_type", F.lit(":"), _padded()), F.col("event_id"), at, user=F.col("user_id"), ts=F.floor(at / 1_000_000).cast("long"))
 
 
-def events_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Key ``user:id``; an error event deletes."""
-    e = read(spark, sf_dir, "events")
+def user_log(events: DataFrame) -> DataFrame:
+    """Key ``user:id``; an error event deletes. Of a table or a stream of events."""
     at = micros(F.col("ts"))
     return log_of(
-        e, F.concat(F.lit("user:"), _padded()), F.col("event_id"), at, F.col("event_type") == "error", F.col("user_id"), F.floor(at / 1_000_000).cast("long")
+        events, F.concat(F.lit("user:"), _padded()), F.col("event_id"), at, F.col("event_type") == "error", F.col("user_id"), F.floor(at / 1_000_000).cast("long")
     )
 
 
+def events_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return user_log(read(spark, sf_dir, "events"))
+
+
 def event_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log by type with an error as DELETE, dealt into eight runs on two levels."""
     e = read(spark, sf_dir, "events")
