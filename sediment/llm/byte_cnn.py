@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.plan import spread
 from .common import table
 
 WIDTH, FILTERS, EMBEDDING, HIDDEN = 6, 24, 8, 16
@@ -176,7 +177,7 @@ def _score(batches: Iterator[pa.RecordBatch], network: Network) -> Iterator[pa.R
 def scored(docs: DataFrame, network: Network, text: str = "text") -> DataFrame:
     """``docs`` without its text, and ``score``."""
     rest = [c for c in docs.columns if c not in (text, "score")]
-    inner = docs.select(F.col(f"`{text}`").cast("binary").alias("__text"), *[F.col(f"`{c}`") for c in rest])
+    inner = spread(docs.select(F.col(f"`{text}`").cast("binary").alias("__text"), *[F.col(f"`{c}`") for c in rest]))
     declared = ", ".join(["score double", *[f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema.fields[1:]]])
     run = partial(_score, network=network)
     return inner.mapInArrow(lambda b: run(b), declared)

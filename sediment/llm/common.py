@@ -9,12 +9,12 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shared import shared_dir
+
 #: Characters that separate words: space and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
-SHARED_KEY = "spark.checkpoint.dir"
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -34,20 +34,11 @@ def count_words(text: Column) -> Column:
     return F.size(words_of(text)).cast("long")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    It is read from the session. Only where the session names none, as in a local test, one is set.
-    """
-    found = spark.conf.get(SHARED_KEY, None) or spark.sparkContext.getConf().get(SHARED_KEY)
-    return found or "/tmp/sediment-checkpoints"
-
-
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write a frame as a table in the shared folder and read it back: lineage ends here and a lost
     executor costs nothing of what came before."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     _PATHS[id(back)] = (back, path)

@@ -38,6 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.plan import spread
 from .common import arrow_batches, discard, written
 from .components import components
 
@@ -148,7 +149,7 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(_sketched, SKETCH)
+    return spread(docs.select("doc_id", F.col("text").cast("binary"))).mapInArrow(_sketched, SKETCH)
 
 
 def _as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
