@@ -6,10 +6,10 @@ may be applied before that (and is pushed into the scan), one on the value or th
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schema import DELETE, PUT
+from ..schema import DELETE
 
 
 def latest(log: DataFrame) -> DataFrame:
@@ -58,7 +58,7 @@ def page(rows: DataFrame, number: int, size: int) -> DataFrame:
     return rows.orderBy("key").offset((number - 1) * size).limit(size)
 
 
-def steps(rows: DataFrame, group: Column | None = None) -> DataFrame:
+def steps(rows: DataFrame) -> DataFrame:
     """An iterator's steps as rows: ``key, value, has_next``, has_next being false on the last row.
 
     Only the greatest key is the last one, so it is found by an aggregate and no row is sorted."""
@@ -72,11 +72,6 @@ def tiers(newer: DataFrame, older: DataFrame) -> DataFrame:
     return live(top.unionByName(below.join(top.select("key"), "key", "left_anti")))
 
 
-def put(user: str | None = None, **columns: Column) -> list[Column]:
-    """The columns of a PUT row, for appending."""
-    return [F.lit(user).cast("string").alias("user"), F.lit(PUT).alias("op"), *[c.alias(k) for k, c in columns.items()]]
-
-
 def numbered(rows: DataFrame, *by: str) -> DataFrame:
     """``rn`` from 0 by key inside each group of ``by``."""
     return rows.withColumn("rn", F.row_number().over(Window.partitionBy(*by).orderBy("key")) - 1)

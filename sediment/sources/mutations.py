@@ -19,8 +19,8 @@ def micros(ts: Column) -> Column:
     return day + clock + (F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("long")
 
 
-def log_of(df: DataFrame, key: Column, value: Column, seq: Column, deleted: Column | None = None, user: Column | None = None, ts: Column | None = None) -> DataFrame:
-    """Rows of MUTATION; a DELETE has an empty value."""
+def log_of(df: DataFrame, key: Column, value: Column, seq: Column, deleted: Column | None = None, user: Column | None = None, ts: Column | None = None, **more: Column) -> DataFrame:
+    """Rows of MUTATION, and ``more`` columns; a DELETE has an empty value."""
     deleted = F.lit(False) if deleted is None else F.coalesce(deleted, F.lit(False))
     return df.select(
         seq.cast("long").alias("seq"),
@@ -29,6 +29,7 @@ def log_of(df: DataFrame, key: Column, value: Column, seq: Column, deleted: Colu
         F.when(deleted, F.lit(DELETE)).otherwise(F.lit(PUT)).alias("op"),
         key.cast("string").alias("key"),
         F.when(deleted, F.lit("")).otherwise(value.cast("string")).alias("value"),
+        *[c.alias(k) for k, c in more.items()],
     )
 
 
@@ -56,13 +57,13 @@ def events_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The log by type with an error as DELETE, dealt into eight runs on two levels."""
+    """The log by type, every fifth event a DELETE, dealt into eight runs on two levels."""
     e = read(spark, sf_dir, "events")
-    at = micros(F.col("ts"))
-    keyed = e.withColumn("__key", F.concat("event_type", F.lit(":"), _padded()))
-    log = log_of(keyed.select("*", (F.col("event_id") % 8).alias("__run")), F.col("__key"), F.col("event_id"), at, (F.col("event_id") % 5) == 0)
-    run = keyed.select(at.alias("seq"), (F.col("event_id") % 8).cast("int").alias("run_id"))
-    return log.join(run, "seq").withColumn("level", F.floor(F.col("run_id") / 4).cast("int"))
+    run = F.col("event_id") % 8
+    return log_of(
+        e, F.concat("event_type", F.lit(":"), _padded()), F.col("event_id"), micros(F.col("ts")), F.col("event_id") % 5 == 0,
+        run_id=run.cast("int"), level=F.floor(run / 4).cast("int"),
+    )
 
 
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
