@@ -56,11 +56,13 @@ def _passes(kind: str, found: Column) -> Column:
 
 
 def _rows_of(order: int, kind: str) -> Column:
-    m, gaps = F.col(f"__m_{kind}"), F.col(f"__p_{kind}")
+    # Zipped outside the lambda: inside it, the split that the gaps come from would be made again for each match.
+    m = F.col(f"__m_{kind}")
+    zipped = F.arrays_zip(m.alias("m"), F.slice(F.col(f"__p_{kind}"), F.lit(1), F.size(m)).alias("gap"))
     rows = F.transform(
-        m,
+        zipped,
         lambda x, i: F.struct(
-            F.lit(order).alias("order"), F.lit(kind).alias("kind"), i.alias("i"), F.get(gaps, i).alias("gap"), x.alias("found")
+            F.lit(order).alias("order"), F.lit(kind).alias("kind"), i.alias("i"), x["gap"].alias("gap"), x["m"].alias("found")
         ),
     )
     return F.when(F.size(m) > 0, rows).otherwise(F.array().cast("array<struct<order:int,kind:string,i:int,gap:int,found:string>>"))

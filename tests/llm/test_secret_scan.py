@@ -88,3 +88,9 @@ def test_empty_table_and_clashing_columns(spark):
     assert r.spans[0].kind == "assign"
     with pytest.raises(AttributeError):
         r.text  # noqa: B018
+
+
+def test_very_many_matches_in_one_text(spark):
+    text = "token=abcdefgh12 " * 40_000
+    r = S.op5_secret_scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()[0]
+    assert r.n_assign == 40_000 and r.spans.endswith(f"assign:{17 * 39_999}:{17 * 40_000 - 1}")
