@@ -141,6 +141,7 @@ class Engine:
     def stats(self) -> DataFrame:
         return R.stats(self.runs())
 
-    def view(self) -> DataFrame:
-        """Live ``key, value`` rows, for any SQL."""
-        return V.view(self.mutations())
+    def view(self, cached: bool = False) -> DataFrame:
+        """Live ``key, value`` rows, for any SQL; ``cached`` keeps them in storage memory, which Spark evicts by use."""
+        rows = V.view(self.mutations())
+        return rows.persist() if cached else rows

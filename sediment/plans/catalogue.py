@@ -12,7 +12,7 @@ from ..functions import bloom, cms, hll, serial, simhash
 from ..functions.hashing import seed_hex
 from ..functions.plan import spread
 from ..functions.shared import shared_dir
-from ..operators import compact, integrity, limiter, runs, view
+from ..operators import cache, compact, integrity, limiter, runs, view
 from ..schema import KVConfig
 from ..sources import mutations as M
 from ..sources import wal
@@ -58,6 +58,12 @@ def kv_include_tombstones(spark, sf_dir):
     return view.view(M.events_by_user(spark, sf_dir), include_tombstones=True)
 
 
+@query(f"WITH {_BY_USER}, {_LATEST} SELECT key, value FROM m WHERE op <> 'DELETE' ORDER BY key")
+def kv_sorted(spark, sf_dir):
+    """The sorted view without deletions, as an ordered in-memory table gives it."""
+    return view.view(M.events_by_user(spark, sf_dir)).orderBy("key")
+
+
 @query("SELECT c_name AS key, c_mktsegment AS value FROM customer WHERE c_name = 'Customer#000000042'")
 def kv_point_get(spark, sf_dir):
     return view.get(M.customers(spark, sf_dir), "Customer#000000042")
@@ -211,6 +217,17 @@ def memtable_flush_points(spark, sf_dir):
     return runs.flush_points(M.events_by_user(spark, sf_dir), 200)
 
 
+@query(
+    f"""WITH RECURSIVE {_BY_TYPE}{_FOLD.format(cols="split_part(k, ':', 1) AS k")},
+    t AS (SELECT u, i, seq, FALSE AS hit, [k] AS held FROM o WHERE i = 1 UNION ALL
+      SELECT o.u, o.i, o.seq, list_contains(t.held, o.k), list_concat([o.k], list_filter(t.held, lambda x: x <> o.k))[1:3] FROM t JOIN o ON o.u = t.u AND o.i = t.i + 1)
+    SELECT u AS "user", seq, hit FROM t"""
+)
+def lru_replay(spark, sf_dir):
+    log = M.events_by_type(spark, sf_dir)
+    return cache.lru_replay(log.select("user", "seq", F.substring_index("key", ":", 1).alias("key")), 3)
+
+
 # The write-ahead log.
 
 
