@@ -2,22 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from collections import OrderedDict
 
+from pyspark.sql import DataFrame
+
+from ..functions.fold import ordered_fold
 
-def lru_replay(accesses: DataFrame, capacity: int) -> DataFrame:
-    """``user, seq, hit`` for rows ``user, seq, key``: whether the key was among the user's ``capacity`` last used ones.
 
-    An ordered fold over one user's accesses, as what is evicted depends on all before; its state is the cache.
-    """
-    zero = F.struct(F.array().cast("array<string>").alias("held"), F.array().cast("array<struct<seq:bigint,hit:boolean>>").alias("out"))
+def lru_replay(accesses: DataFrame, capacity: int) -> DataFrame:
+    """``user, seq, hit`` for rows ``user, seq, key``: whether the key was among the user's ``capacity`` last used ones."""
 
-    def step(s: Column, x: Column) -> Column:
-        hit = F.array_contains(s["held"], x["key"])
-        held = F.slice(F.concat(F.array(x["key"]), F.array_remove(s["held"], x["key"])), 1, capacity)
-        return F.struct(held.alias("held"), F.concat(s["out"], F.array(F.struct(x["seq"].alias("seq"), hit.alias("hit")))).alias("out"))
+    def step(held: OrderedDict, key: str) -> tuple:
+        hit = key in held
+        held[key] = None
+        held.move_to_end(key)
+        if len(held) > capacity:
+            held.popitem(last=False)
+        return held, (hit,)
 
-    rows = accesses.groupBy("user").agg(F.sort_array(F.collect_list(F.struct("seq", "key"))).alias("rows"))
-    out = rows.select("user", F.explode(F.aggregate("rows", zero, step, lambda s: s["out"])).alias("o"))
-    return out.select("user", "o.*")
+    return ordered_fold(accesses, "user", "seq", ["key"], OrderedDict, step, "hit boolean")

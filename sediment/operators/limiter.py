@@ -2,11 +2,25 @@
 
 from __future__ import annotations
 
+import math
 import time
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.fold import ordered_fold
+
+
+def admit(tokens: int, t0: int, now: int, capacity: int, rate: float, strict: bool) -> tuple[tuple[int, int], tuple[bool, int]]:
+    """One request at time ``now`` to a bucket: ((tokens, t0) after it, (admitted, tokens))."""
+    added = math.floor((now - t0) * rate)
+    filled = min(tokens + added, capacity)
+    if strict and added > 0:
+        t0 = now
+    ok = filled >= 1
+    tokens = filled - 1 if ok else (filled if strict else tokens)
+    return (tokens, t0), (ok, tokens)
+
 
 def replay(requests: DataFrame, capacity: int, rate: float, strict: bool = False) -> DataFrame:
     """``user, seq, allowed, tokens`` for rows ``user, seq, ts`` (seconds), in order of seq.
@@ -17,24 +31,12 @@ def replay(requests: DataFrame, capacity: int, rate: float, strict: bool = False
 
     Which requests pass depends on all before: it is an ordered fold over one user's requests.
     """
-    zero = F.struct(
-        F.lit(capacity).cast("long").alias("tokens"), F.lit(None).cast("long").alias("t0"),
-        F.array().cast("array<struct<seq:bigint,allowed:boolean,tokens:bigint>>").alias("out"),
-    )
-
-    def step(s: Column, x: Column) -> Column:
-        t0 = F.coalesce(s["t0"], x["ts"])
-        added = F.floor((x["ts"] - t0).cast("double") * F.lit(float(rate)))
-        now = F.least(s["tokens"] + added, F.lit(capacity).cast("long"))
-        ok = now >= 1
-        tokens = F.when(ok, now - 1).otherwise(now if strict else s["tokens"]).cast("long")
-        start = F.when(added > 0, x["ts"]).otherwise(t0) if strict else t0
-        row = F.struct(x["seq"].alias("seq"), ok.alias("allowed"), tokens.alias("tokens"))
-        return F.struct(tokens.alias("tokens"), start.alias("t0"), F.concat(s["out"], F.array(row)).alias("out"))
-
-    asked = requests.groupBy("user").agg(F.sort_array(F.collect_list(F.struct(F.col("seq").cast("long").alias("seq"), F.col("ts").cast("long").alias("ts")))).alias("rows"))
-    out = asked.select("user", F.explode(F.aggregate("rows", zero, step, lambda s: s["out"])).alias("o"))
-    return out.select("user", "o.*")
+    def step(state: tuple | None, ts: int) -> tuple:
+        tokens, t0 = state or (capacity, ts)
+        return admit(tokens, t0, ts, capacity, rate, strict)
+
+    asked = requests.select("user", "seq", F.col("ts").cast("long").alias("ts"))
+    return ordered_fold(asked, "user", "seq", ["ts"], lambda: None, step, "allowed boolean, tokens long")
 
 
 class Limiter:
@@ -47,10 +49,5 @@ class Limiter:
     def allows(self, user: str) -> bool:
         now = int(self.clock())
         tokens, t0 = self.buckets.get(user, (self.capacity, now))
-        added = int((now - t0) * self.rate)
-        filled = min(tokens + added, self.capacity)
-        if self.strict and added > 0:
-            t0 = now
-        ok = filled >= 1
-        self.buckets[user] = (filled - 1 if ok else (filled if self.strict else tokens), t0)
+        self.buckets[user], (ok, _) = admit(tokens, t0, now, self.capacity, self.rate, self.strict)
         return ok

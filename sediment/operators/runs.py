@@ -7,10 +7,15 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.fold import ordered_fold
 from ..schema import DELETE, RUN
 from .view import latest, numbered
 
 
+#: Run ids that may be broadcast.
+BROADCAST_RUNS = 100_000
+
+
 def row_bytes() -> Column:
     return (F.octet_length("key") + F.octet_length(F.coalesce("value", F.lit("")))).cast("long")
 
@@ -75,7 +80,8 @@ def summary_seek(summary: DataFrame, probes: DataFrame) -> DataFrame:
     forward. Probes are repeated once per run, never per key.
     """
     ids = summary.select("run_id").distinct()
-    asked = probes.select(F.col("key").alias("probe")).distinct().crossJoin(F.broadcast(ids))
+    ids = F.broadcast(ids) if ids.limit(BROADCAST_RUNS + 1).count() <= BROADCAST_RUNS else ids
+    asked = probes.select(F.col("key").alias("probe")).distinct().crossJoin(ids)
     both = summary.select("run_id", F.col("key").alias("at"), F.lit(0).alias("side"), F.col("key").alias("found"), F.lit(None).cast("string").alias("probe"))
     both = both.unionByName(asked.select("run_id", F.col("probe").alias("at"), F.lit(1).alias("side"), F.lit(None).cast("string").alias("found"), "probe"))
     w = Window.partitionBy("run_id").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -84,16 +90,12 @@ def summary_seek(summary: DataFrame, probes: DataFrame) -> DataFrame:
 
 def flush_points(log: DataFrame, limit: int) -> DataFrame:
     """Which in-memory table of its user each mutation falls in: a table takes rows, overwritten ones included, until
-    their bytes reach ``limit``, and the next row opens a new one. An ordered fold per user."""
-    rows = log.select("user", "seq", row_bytes().alias("bytes"))
-    zero = F.struct(F.lit(0).cast("long").alias("size"), F.lit(0).cast("long").alias("table"), F.array().cast("array<struct<seq:bigint,table:bigint>>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        full = s["size"] >= limit
-        table = s["table"] + full.cast("long")
-        size = F.when(full, F.lit(0)).otherwise(s["size"]) + x["bytes"]
-        return F.struct(size.cast("long").alias("size"), table.alias("table"), F.concat(s["out"], F.array(F.struct(x["seq"].alias("seq"), table.alias("table")))).alias("out"))
-
-    folded = rows.groupBy("user").agg(F.sort_array(F.collect_list(F.struct("seq", "bytes"))).alias("rows"))
-    out = folded.select("user", F.explode(F.aggregate("rows", zero, step, lambda s: s["out"])).alias("o"))
-    return out.select("user", "o.seq", F.col("o.table").alias("memtable"))
+    their bytes reach ``limit``, and the next row opens a new one."""
+
+    def step(state: tuple[int, int], size: int) -> tuple:
+        held, table = state
+        if held >= limit:
+            held, table = 0, table + 1
+        return (held + size, table), (table,)
+
+    return ordered_fold(log.select("user", "seq", row_bytes().alias("bytes")), "user", "seq", ["bytes"], lambda: (0, 0), step, "memtable long")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
+from ..operators.limiter import admit
 from ..operators.runs import flush
 
 
@@ -40,12 +41,7 @@ class TokenBuckets(StatefulProcessor):
         tokens, t0 = self.bucket.get() if self.bucket.exists() else (self.capacity, int(asked["ts"].iloc[0]))
         out = []
         for seq, ts in zip(asked["seq"], asked["ts"]):
-            added = int((int(ts) - t0) * self.rate)
-            filled = min(tokens + added, self.capacity)
-            if self.strict and added > 0:
-                t0 = int(ts)
-            ok = filled >= 1
-            tokens = filled - 1 if ok else (filled if self.strict else tokens)
+            (tokens, t0), (ok, _) = admit(tokens, t0, int(ts), self.capacity, self.rate, self.strict)
             out.append((key[0], int(seq), ok, tokens))
         self.bucket.update((tokens, t0))
         yield pd.DataFrame(out, columns=["user", "seq", "allowed", "tokens"])
