@@ -24,12 +24,12 @@ from .common import text_of
 _SECTION = r"(?<=\n\n)(?!\n)"
 _PARAGRAPH = r"(?<=\n)"
 RUN = r"[^\x20\x09-\x0D]+(?:[\x20\x09\x0B-\x0D]+[^\x20\x09-\x0D]+)?"
-#: Rows of one range of ids that are sorted together to find each document's successor.
+#: Rows of one range of ids that are sorted together to find each document's successor: so many, or more where there
+#: would be over ``RANGES`` ranges otherwise. The table of ranges has at most RANGES + COARSE + 1 rows of two numbers.
 ROWS_A_RANGE = 250
+RANGES = 100_000
 #: Id ranges of equal depth, measured first; inside each, ids are cut evenly.
 COARSE = 256
-#: First ids of ranges that may be broadcast; with more, they are joined by a shuffle.
-BROADCAST_ROWS = 200_000
 
 
 def leaves(text: Column) -> Column:
@@ -95,15 +95,15 @@ def _search(value: Column, bounds: list[int], low: int = 0) -> Column:
 
 
 def _ranges(ids: DataFrame) -> Column | None:
-    """The range of a ``doc_id``: ranges ascend with ids and hold about ``ROWS_A_RANGE`` rows where ids
-    are spread evenly within a 256th of them. None without ids."""
+    """The range of a ``doc_id``: ranges ascend with ids and hold about as many rows as said above where ids are spread
+    evenly within a 256th of them. None without ids."""
     at = [i / COARSE for i in range(1, COARSE)]
     lo, hi, n, cuts = ids.agg(F.min("doc_id"), F.max("doc_id"), F.count("*"), F.percentile_approx("doc_id", at, 25_600)).first()
     if lo is None:
         return None
     cuts = sorted({c for c in cuts if c > lo})
     starts = [lo, *cuts]
-    fine = max(1, -(-n // (len(starts) * ROWS_A_RANGE)))
+    fine = max(1, -(-n // (len(starts) * max(ROWS_A_RANGE, -(-n // RANGES)))))
     coarse = _search(F.col("doc_id"), cuts)
     start = F.element_at(F.array(*[F.lit(int(x)) for x in starts]), coarse + 1)
     step = F.element_at(F.array(*[F.lit(max(1, -(-(b - a) // fine))) for a, b in zip(starts, [*cuts, hi + 1], strict=True)]), coarse + 1)
@@ -125,9 +125,8 @@ def with_next(docs: DataFrame, carry: dict[str, Column]) -> DataFrame:
     firsts = firsts.select(
         F.col("__first"), F.coalesce(F.lag("__range").over(chain), F.max("__range").over(wrap)).alias("__before")
     )
-    n = d.select("__range").distinct().count()
-    small = F.broadcast(firsts) if n <= BROADCAST_ROWS else firsts
-    d = d.join(small, d["doc_id"].eqNullSafe(small["__first"]), "left")
+    first = F.broadcast(firsts)  # of bounded size, see RANGES
+    d = d.join(first, d["doc_id"].eqNullSafe(first["__first"]), "left")
     own = F.struct(F.col("__range").alias("r"), F.lit(False).alias("guest"))
     guest = F.struct(F.col("__before").alias("r"), F.lit(True).alias("guest"))
     d = d.withColumn("__at", F.explode(F.when(F.col("__before").isNull(), F.array(own)).otherwise(F.array(own, guest))))
