@@ -2,14 +2,16 @@
 
 A document's set holds its distinct 5-word shingles (words are runs of anything but U+0020 and U+0009
 to U+000D, A-Z lower-cased; with fewer words the whole sequence is one shingle; without words the set is
-empty and linked with nothing). Two documents are linked if 100 * |A and B| >= 85 * |A or B|.
+empty and linked with nothing). Two documents are linked if 100 * |A and B| >= percent * |A or B|; ``percent`` is
+``PERCENT`` (85) in ``op2_near_dedup`` and ``STAGE_PERCENT`` (80) in the pipeline's stage.
 
 1. *Sketch.* One pass over the texts gives each document the size of its set, a 128-bit digest of it and
    a signature of ``PERMUTATIONS`` minima; the sketch is written to the shared folder. Documents with
    equal sets form a class; from here on one node stands for a class, so a group of copies of any size
    is one node.
-2. *Candidates.* Nodes that agree on one of ``BANDS`` bands of ``ROWS`` minima share a bucket. A pair at
-   the threshold misses all bands with probability 8e-7.
+2. *Candidates.* Nodes that agree on one of the bands of minima share a bucket. Bands are as long as they may be for
+   a pair at the threshold to miss all of them with probability under ``MISS``: 24 of 5 minima at 85 (8e-7), 30 of 4
+   at 80 (1.4e-7).
 3. *Stars.* In each bucket every node is compared with the smallest one.
 4. *Sequential Bayesian verification.* Signatures are compared ``BATCH`` minima at a time. With a
    uniform prior and m of n matches the similarity has the posterior Beta(m + 1, n - m + 1); a pair is
@@ -31,6 +33,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +46,8 @@ from .common import arrow_batches, discard, written
 from .components import components
 
 SHINGLE = 5
-PERCENT = 85
-PERMUTATIONS, BANDS, ROWS = 120, 24, 5
+PERCENT, STAGE_PERCENT = 85, 80
+PERMUTATIONS = 120
 BATCH = 24
 MISS = 1e-6
 BLOCK = 256
@@ -61,7 +64,7 @@ _rng = np.random.Generator(np.random.PCG64(20240229))
 _PLACE = _rng.integers(0, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _A = _rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
-_BAND = _rng.integers(0, 1 << 63, (BANDS, ROWS + 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BAND = _rng.integers(0, 1 << 63, 2 * PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 SKETCH = "doc_id long, n_shingles long, set_id binary, signature binary, bands array<long>"
 
@@ -77,7 +80,22 @@ def least_matches(n: int, threshold: float = PERCENT / 100, miss: float = MISS)
     return n
 
 
-_LEAST = [(n, least_matches(n)) for n in range(BATCH, PERMUTATIONS + 1, BATCH)]
+@lru_cache
+def _least(percent: int) -> list[tuple[int, int]]:
+    return [(n, least_matches(n, percent / 100)) for n in range(BATCH, PERMUTATIONS + 1, BATCH)]
+
+
+@lru_cache
+def layout(percent: int = PERCENT) -> tuple[int, int]:
+    """(bands, minima of each): the longest bands that a pair at the threshold misses with probability under MISS."""
+    rows = [r for r in range(1, PERMUTATIONS + 1) if PERMUTATIONS % r == 0 and (1 - (percent / 100) ** r) ** (PERMUTATIONS // r) < MISS]
+    if not rows:
+        raise ValueError(f"{PERMUTATIONS} minima are too few for a threshold of {percent} percent")
+    return PERMUTATIONS // max(rows), max(rows)
+
+
+_LEAST = _least(PERCENT)
+BANDS, ROWS = layout()
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -123,12 +141,14 @@ def signature(s: np.ndarray) -> np.ndarray:
     return low
 
 
-def bands(sig: np.ndarray) -> np.ndarray:
-    v = (sig.reshape(BANDS, ROWS) * _BAND[:, :ROWS]).sum(axis=1, dtype=np.uint64) + _BAND[:, ROWS]
+def bands(sig: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    n, rows = layout(percent)
+    k = _BAND[: n * (rows + 1)].reshape(n, rows + 1)
+    v = (sig.reshape(n, rows) * k[:, :rows]).sum(axis=1, dtype=np.uint64) + k[:, rows]
     return _mixed(v).view(np.int64)
 
 
-def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sketched(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     with np.errstate(over="ignore"):
         for batch in batches:
             n, sets, sigs, keys = [], [], [], []
@@ -141,15 +161,15 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sig = signature(s)
                 sets.append(xxhash.xxh3_128_digest(s.tobytes()))
                 sigs.append(sig.astype(np.uint16).tobytes())
-                keys.append(bands(sig))
+                keys.append(bands(sig, percent))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(sets, pa.binary()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
                 names=["doc_id", "n_shingles", "set_id", "signature", "bands"],
             )
 
 
-def sketch(docs: DataFrame) -> DataFrame:
-    return spread(docs.select("doc_id", F.col("text").cast("binary"))).mapInArrow(_sketched, SKETCH)
+def sketch(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    return spread(docs.select("doc_id", F.col("text").cast("binary"))).mapInArrow(lambda b: _sketched(b, percent), SKETCH)
 
 
 def _as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,19 +184,19 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(x.as_py() for x in column), np.uint16).reshape(len(column), PERMUTATIONS)
 
 
-def _likely(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def _likely(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     """Indices of the rows of a and b that no batch of minima prunes."""
     left, m = np.arange(len(a)), np.zeros(len(a), np.int64)
-    for n, least in _LEAST:
+    for n, least in _least(percent):
         m += (a[left, n - BATCH : n] == b[left, n - BATCH : n]).sum(axis=1)
         stay = m >= least
         left, m = left[stay], m[stay]
     return left
 
 
-def _pruned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pruned(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        stay = _likely(_matrix(batch.column("sa")), _matrix(batch.column("sb"))) if len(batch) else np.empty(0, np.int64)
+        stay = _likely(_matrix(batch.column("sa")), _matrix(batch.column("sb")), percent) if len(batch) else np.empty(0, np.int64)
         yield batch.select(["a", "b"]).take(pa.array(stay))
 
 
@@ -210,7 +230,7 @@ def _common(one: np.ndarray, many: list[np.ndarray]) -> np.ndarray:
     return np.add.reduceat(one[at] == flat, np.cumsum([0, *map(len, many[:-1])]))
 
 
-def _blockwise(rows: pa.Table) -> pa.Table:
+def _blockwise(rows: pa.Table, percent: int = PERCENT) -> pa.Table:
     """Links across components in one block of a bucket, as many as join components.
 
     A pair is looked at in the first band that its nodes share. Signatures prune it, full sets decide; what is
@@ -218,7 +238,7 @@ def _blockwise(rows: pa.Table) -> pa.Table:
     """
     node, comp, side, band, n = (rows.column(c).to_numpy() for c in ("node", "component", "side", "band", "n"))
     sig = _matrix(rows.column("signature").combine_chunks())
-    keys = np.array(rows.column("bands").to_pylist(), np.int64).reshape(len(node), BANDS)
+    keys = np.array(rows.column("bands").to_pylist(), np.int64).reshape(len(node), layout(percent)[0])
     items = [np.asarray(x.values).view(np.uint64) for x in rows.column("items").combine_chunks()]
     one = bool((side == side[0]).all()) if len(side) else True
     left = np.flatnonzero(side == side[0]) if len(side) else side
@@ -227,21 +247,21 @@ def _blockwise(rows: pa.Table) -> pa.Table:
     out_a, out_b = [], []
     for i in left:
         to = right[right > i] if one else right
-        to = to[100 * np.minimum(n[to], n[i]) >= PERCENT * np.maximum(n[to], n[i])]
+        to = to[100 * np.minimum(n[to], n[i]) >= percent * np.maximum(n[to], n[i])]
         to = to[~(keys[to, : band[i]] == keys[i, : band[i]]).any(axis=1)]
         to = to[forest.of(to) != forest.root(int(forest.own[i]))]
         if len(to):
-            to = to[_likely(np.broadcast_to(sig[i], (len(to), PERMUTATIONS)), sig[to])]
+            to = to[_likely(np.broadcast_to(sig[i], (len(to), PERMUTATIONS)), sig[to], percent)]
         if len(to):
             both = _common(items[i], [items[j] for j in to])
-            for j in to[100 * both >= PERCENT * (n[i] + n[to] - both)]:
+            for j in to[100 * both >= percent * (n[i] + n[to] - both)]:
                 if forest.join(i, j):
                     out_a.append(node[i]), out_b.append(node[j])
     return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
 
-def _close(a: str, b: str):
-    return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
+def _close(a: str, b: str, percent: int):
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
 def _sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
@@ -254,7 +274,7 @@ def _sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
     return sets
 
 
-def _exact(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def _exact(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs ``a, b`` whose full sets reach the threshold."""
     pairs = written(pairs.distinct(), "pairs")
     sets = _sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), docs)
@@ -262,23 +282,23 @@ def _exact(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     both = both.join(sets.select(F.col("node").alias("b"), F.col("items").alias("ib")), "b")
     common = F.size(F.array_intersect("ia", "ib"))
     union = F.size("ia") + F.size("ib") - common
-    links = written(both.where(100 * common >= PERCENT * union).select("a", "b").distinct(), "links")
+    links = written(both.where(100 * common >= percent * union).select("a", "b").distinct(), "links")
     discard(pairs, sets)
     return links
 
 
-def _stars(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _stars(nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """(rows ``key, node, band, rep, c`` of buckets with company, survivors of the comparison with ``rep``)."""
     spread = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     buckets = spread.groupBy("key").agg(F.min("node").alias("rep"), F.count("*").alias("c")).where("c > 1")
     rows = written(spread.join(buckets, "key"), "buckets")
     pairs = rows.where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct()
     sig = nodes.select("node", "signature", "n_shingles")
-    pairs = pairs.join(sig.toDF("a", "sa", "na"), "a").join(sig.toDF("b", "sb", "nb"), "b").where(_close("na", "nb"))
-    return rows, pairs.mapInArrow(_pruned, "a long, b long")
+    pairs = pairs.join(sig.toDF("a", "sa", "na"), "a").join(sig.toDF("b", "sb", "nb"), "b").where(_close("na", "nb", percent))
+    return rows, pairs.mapInArrow(lambda b: _pruned(b, percent), "a long, b long")
 
 
-def _rest(rows: DataFrame, nodes: DataFrame, found: DataFrame, docs: DataFrame) -> DataFrame:
+def _rest(rows: DataFrame, nodes: DataFrame, found: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Links across components in buckets of three and more nodes, enough of them to join what is linked."""
     rows = rows.where("c > 2").select("key", "node", "band", "c")
     rows = rows.join(found, "node", "left").select("key", "node", "band", "c", F.coalesce("component", "node").alias("component"))
@@ -294,26 +314,26 @@ def _rest(rows: DataFrame, nodes: DataFrame, found: DataFrame, docs: DataFrame)
     )
     rows = rows.select("key", "node", "band", "component", F.explode(met).alias("m")).select("key", "node", "band", "component", "m.*")
     rows = rows.join(nodes.select("node", "signature", "bands", F.col("n_shingles").alias("n")), "node").join(sets, "node")
-    links = written(rows.groupBy("key", "i", "j").applyInArrow(_blockwise, "a long, b long").distinct(), "links")
+    links = written(rows.groupBy("key", "i", "j").applyInArrow(lambda t: _blockwise(t, percent), "a long, b long").distinct(), "links")
     discard(open_rows, sets)
     return links
 
 
-def linked(docs: DataFrame) -> DataFrame:
+def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, set_id, component_id, kept`` for each row of ``docs`` (``doc_id, text``)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # The result reads the sketch, the nodes and the components; all other tables go once they are used.
     with arrow_batches(docs.sparkSession, BATCH_ROWS):
-        every = written(sketch(docs), "sketch")
+        every = written(sketch(docs, percent), "sketch")
         classes = every.where("set_id IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_id").agg(
             F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"),
             F.first("signature").alias("signature"), F.first("bands").alias("bands"),
         )
         nodes = written(classes, "nodes")
-        rows, likely = _stars(nodes)
-        links = _exact(likely, docs)
+        rows, likely = _stars(nodes, percent)
+        links = _exact(likely, docs, percent)
         found = components(links)
-        more = _rest(rows, nodes, found, docs)
+        more = _rest(rows, nodes, found, docs, percent)
         if not more.isEmpty():
             found = components(links.union(more))
         discard(rows, links, more)
@@ -326,9 +346,9 @@ def linked(docs: DataFrame) -> DataFrame:
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, percent: int = STAGE_PERCENT) -> DataFrame:
     """The rows of ``docs`` that stay: one of each group, and all that have no id."""
-    gone = written(linked(docs), "decisions")
+    gone = written(linked(docs, percent), "decisions")
     again = not gone.where("doc_id IS NOT NULL").groupBy("doc_id", "set_id").count().where("count > 1").isEmpty()
     drop = written(gone.where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
     few = F.broadcast(drop) if drop.count() <= BROADCAST_IDS else drop
