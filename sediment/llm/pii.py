@@ -4,7 +4,7 @@
 
 *Added spans.* Generators of high recall propose overlapping candidates of six further kinds: national phone
 numbers, spelled-out e-mail addresses, card-like numbers of other lengths or separators, IBANs, social-security
-numbers and IPv6 addresses. Boosted trees score each from its format (lengths, groups, separators, check digits)
+numbers and IPv6 addresses, shortened ones too. Boosted trees score each from its format (lengths, groups, separators, check digits)
 and its context (telling words, prices, units, neighbours that are letters or digits). The scores are calibrated,
 and each kind has the lowest threshold that kept ``PRECISION`` on calibration rows. Of overlapping candidates
 the likeliest stays, and none that touches a base span is added.
@@ -47,14 +47,21 @@ _NOT_DIGIT = re.compile(r"[^0-9]+")
 _ANY = re.compile(r"[0-9@]")
 
 GENERATORS = {
-    "phone_local": re.compile(r"(?<![0-9A-Za-z+.])\(?[0-9]{2,5}\)?(?:[ ./-]{1,2}[0-9]{2,5}){1,4}(?![0-9A-Za-z])"),
+    "phone_local": re.compile(
+        r"(?<![0-9A-Za-z+.])(?:\(?[0-9]{2,5}(?:\)[ ./-]{0,2}|[ ./-]{1,2})[0-9]{2,8}(?:[ ./-]{1,2}[0-9]{2,8}){0,3}|[0-9]{9,11})(?![0-9A-Za-z])"
+    ),
     "email_spelled": re.compile(
         r"\b[A-Za-z0-9_-]{2,32}(?:\.[A-Za-z0-9_-]{1,32}){0,3}\s?(?:\(at\)|\[at\]|\{at\}| at )\s?[A-Za-z0-9-]{2,40}(?:\s?(?:\(dot\)|\[dot\]|\{dot\}| dot |\.)\s?[A-Za-z]{2,12}){1,3}\b"
     ),
     "card_other": re.compile(r"(?<![0-9A-Za-z.])[0-9]{4}(?:[ .-]?[0-9]{4}){2}[ .-]?[0-9]{1,7}(?![0-9A-Za-z])"),
     "iban": re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"),
     "ssn": re.compile(r"(?<![0-9A-Za-z-])[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}(?![0-9A-Za-z-])"),
-    "ipv6": re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){3,7}(?:[0-9A-Fa-f]{1,4}|:)(?![0-9A-Za-z:])"),
+    # Four to eight groups, or any number of them about a ``::``; a single colon may follow.
+    "ipv6": re.compile(
+        r"(?<![0-9A-Za-z:])(?:(?:[0-9A-Fa-f]{1,4}:){3,7}(?:[0-9A-Fa-f]{1,4}|:)"
+        r"|[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6}::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?"
+        r"|::[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})(?![0-9A-Za-z]|:[0-9A-Za-z:])"
+    ),
 }
 _CUES = (
     re.compile(r"(?i)\b(?:tel|phone|call|mobile|cell|fax|telefon|téléphone|teléfono|whatsapp|sms)\b"),
@@ -124,7 +131,7 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
         if kind == "email_spelled":
             if not ("at)" in text or "at]" in text or "at}" in text or " at " in text):
                 continue
-        elif not digits:
+        elif not digits and not (kind == "ipv6" and "::" in text):
             continue
         out += [(kind, m.start(), m.end()) for m in p.finditer(text)]
     return out
@@ -144,7 +151,7 @@ def features(text: str, kind: str, a: int, b: int) -> list[float]:
     return [
         float(KINDS.index(kind)),
         len(s), len(d), len(groups), max(map(len, groups)), min(map(len, groups)),
-        len(set(seps)), seps.count("-"), seps.count("."), seps.count("/"), seps.count(" "), float("(" in seps),
+        len(set(seps)), seps.count("-"), seps.count("."), seps.count("/"), seps.count(" "), float("(" in seps), seps.count(":"), float("::" in s),
         float(len(d) >= 12 and luhn(d)),
         float(kind == "iban" and _iban_ok(s)),
         float(d[:1] == "0"), float(d[:2] in ("19", "20")), float(len(set(d)) <= 2),
@@ -168,11 +175,13 @@ def _grammar(rng: random.Random) -> tuple[str, str, bool]:
         return next(body + c for c in "0123456789" if luhn(body + c) == yes)
 
     if kind == "phone_local":
-        s = rng.choice([f"({n(3)}) {n(3)}-{n(4)}", f"{n(3)}-{n(3)}-{n(4)}", f"0{n(3)} {n(6)[:5]}", f"0{n(2)} {n(3)} {n(2)} {n(2)}", f"{n(3)}.{n(3)}.{n(4)}"])
+        s = rng.choice([f"({n(3)}) {n(3)}-{n(4)}", f"{n(3)}-{n(3)}-{n(4)}", f"0{n(3)} {n(6)[:5]}", f"0{n(2)} {n(3)} {n(2)} {n(2)}", f"{n(3)}.{n(3)}.{n(4)}",
+                        n(10), f"0{n(rng.choice([8, 9, 10]))}", f"0{n(2)} {n(rng.choice([6, 7, 8]))}", f"0{n(3)} {n(7)}", f"0{n(4)}/{n(6)}", f"({n(3)}){n(3)}-{n(4)}", f"({n(3)}) {n(7)}"])
         lead = rng.choice(["tel", "phone", "call", "mobile", "Telefon", "téléphone", "fax"]) + rng.choice([" ", ": "])
         if not yes:
-            s = rng.choice([f"20{n(2)}-{n(2)}-{n(2)}", f"{n(2)}/{n(2)}/20{n(2)}", f"{n(3)}.{n(3)}", f"{n(2)} {n(3)}", f"{n(4)}-{n(4)}", f"{n(2)}-{n(2)}", f"{n(3)} {n(3)} {n(3)}"])
-            lead = rng.choice(["", "on ", "page ", "version ", "order ", "pages ", "$", "invoice no ", "ISBN "])
+            s = rng.choice([f"20{n(2)}-{n(2)}-{n(2)}", f"{n(2)}/{n(2)}/20{n(2)}", f"{n(3)}.{n(3)}", f"{n(2)} {n(3)}", f"{n(4)}-{n(4)}", f"{n(2)}-{n(2)}", f"{n(3)} {n(3)} {n(3)}",
+                            n(rng.choice([9, 10, 11])), f"1{n(9)}", f"20{n(2)} {n(6)}", f"{n(4)} {n(7)}", f"{n(3)}-{n(8)}", f"({rng.choice(['19', '20'])}{n(2)}){n(3)}-{n(3)}", f"({n(2)}) {n(6)}"])
+            lead = rng.choice(["", "on ", "page ", "version ", "order ", "pages ", "$", "invoice no ", "ISBN ", "id ", "ref ", "at "])
     elif kind == "email_spelled":
         s = f"{word()}{rng.choice(['', '.' + word()])}{rng.choice([' (at) ', ' [at] ', '(at)', ' at '])}{word()}{rng.choice([' dot ', ' (dot) ', ' [dot] ', '.'])}{rng.choice(['com', 'org', 'net', 'de', 'fr'])}"
         lead = cue("email", "mail", "contact", "write")
@@ -193,9 +202,15 @@ def _grammar(rng: random.Random) -> tuple[str, str, bool]:
     elif kind == "ssn":
         s, lead = f"{n(3)}-{n(2)}-{n(4)}", rng.choice(["SSN ", "social security ", "ssn: "]) if yes else rng.choice(["", "part ", "order no ", "model "])
     else:
-        s, lead = ":".join(f"{rng.randrange(1 << 16):x}" for _ in range(8)), cue("host", "ip", "address")
+        group = lambda: f"{rng.randrange(1 << rng.choice([4, 8, 16, 16])):x}"
+        groups = lambda least, most: ":".join(group() for _ in range(rng.randint(least, most)))
+        net = lambda: rng.choice([f"20{n(2)}", "fe80", "fd" + n(2), f"2a0{n(1)}"])
+        s = rng.choice([":".join(f"{rng.randrange(1 << 16):x}" for _ in range(8)), f"{net()}::{groups(1, 4)}", f"{net()}:{groups(1, 3)}::{groups(1, 3)}", f"{net()}:{groups(1, 3)}::", "::1", f"::{groups(2, 3)}"])
+        s, lead = rng.choice([s, s.upper()]), cue("host", "ip", "address", "server", "ping")
         if not yes:
-            s, lead = ":".join(n(2) for _ in range(4)), rng.choice(["", "at ", "on "])
+            name = lambda: "".join(rng.choice("abcdef") for _ in range(rng.randint(1, 4)))
+            s = rng.choice([":".join(n(2) for _ in range(4)), f"{name()}::{name()}", f"{name().title()}::{name().title()}", f"::{name()}", f"{n(1)}::{n(2)}", f"{n(2)}::{n(2)}", f"{name()}::"])
+            lead = rng.choice(["", "at ", "on ", "use ", "class "])
     tail = rng.choice([" ", ". ", ", "]) if rng.random() < 0.85 else rng.choice([" EUR ", "% ", " kg "] if not yes else [" "])
     return words(rng.randint(1, 8)) + " " + lead, s + "\x00" + tail + words(rng.randint(1, 8)), yes
 
