@@ -347,7 +347,29 @@ def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, percent: int = STAGE_PERCENT) -> DataFrame:
-    """The rows of ``docs`` that stay: one of each group, and all that have no id."""
+    """The rows of ``docs`` that stay: one of each group, and all that have no id. Texts that share an id are decided
+    on one by one."""
+    names = written(docs.select("doc_id", _digest().alias("__digest")).where("doc_id IS NOT NULL").distinct(), "names")
+    if names.groupBy("doc_id").count().where("count > 1").isEmpty():
+        kept = _undropped(docs, percent)
+        discard(names)
+        return kept
+    # Keys of (id, text) in the order of the ids stand for the ids.
+    keys = names.orderBy("doc_id", "__digest").withColumn("__key", F.monotonically_increasing_id())
+    keys = written(keys.withColumnRenamed("doc_id", "__id"), "keys")
+    keyed = docs.withColumn("__digest", _digest())
+    match = (keyed["doc_id"] == keys["__id"]) & (keyed["__digest"] == keys["__digest"])
+    keyed = written(keyed.join(keys, match, "left").select(*[F.col(f"`{c}`") for c in docs.columns], "__key"), "keyed")
+    kept = _undropped(keyed.withColumn("__id", F.col("doc_id")).withColumn("doc_id", F.col("__key")), percent)
+    discard(names, keys)
+    return kept.withColumn("doc_id", F.col("__id")).select(*docs.columns)
+
+
+def _digest():
+    return F.xxhash64("text")
+
+
+def _undropped(docs: DataFrame, percent: int) -> DataFrame:
     gone = written(linked(docs, percent), "decisions")
     again = not gone.where("doc_id IS NOT NULL").groupBy("doc_id", "set_id").count().where("count > 1").isEmpty()
     drop = written(gone.where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct(), "gone")

@@ -60,3 +60,13 @@ def test_stage_links_at_eighty_and_the_query_at_eighty_five(spark):
 def test_bands_miss_no_pair_at_the_threshold(percent):
     n, rows = M.layout(percent)
     assert n * rows == M.PERMUTATIONS and (1 - (percent / 100) ** rows) ** n < 1e-6
+
+
+def test_a_text_without_copy_stays_though_its_id_has_one(spark):
+    copied, clean = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, copied, "x"), (2, copied + " end", "y"), (2, clean, "y"), (2, clean, "y"), (3, None, "z"), (3, "", "z"), (None, copied, "n")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, extra string").withColumnRenamed("extra", "extra kept")
+    out = M.deduplicated(d)
+    assert out.columns == d.columns and out.schema["doc_id"].dataType == d.schema["doc_id"].dataType
+    want = [(1, copied, "x"), (2, clean, "y"), (3, None, "z"), (3, "", "z"), (None, copied, "n")]
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
