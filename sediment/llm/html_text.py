@@ -7,8 +7,10 @@ vanish; ``script``, ``style``, ``textarea`` and ``title`` are raw up to their en
 text. Character references are resolved.
 
 *Visibility.* ``head`` and what belongs there, scripts, styles, templates, embedded media, and elements with the
-attribute ``hidden`` or the inline style ``display:none`` or ``visibility:hidden`` are not rendered, nor is anything
-inside them.
+attribute ``hidden`` or the inline style ``display:none`` are not rendered, nor is anything inside them.
+``visibility:hidden`` is inherited until an element is ``visible`` again. MathML is text but for its annotations; of
+``svg`` the contents of ``text`` and ``foreignObject`` are, but for titles, descriptions and definitions (what only
+``use`` brings up is not).
 
 *Layout.* White space collapses but for ``pre`` and ``textarea``. Blocks begin a line; paragraphs, headings,
 lists, tables and quotes have a blank line about them; ``br`` breaks a line and ``hr`` draws one. List items are
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noembed noframes".split())
 HIDDEN = frozenset(
-    "head title meta link base style script noscript template iframe object embed audio video canvas svg math map datalist area param source track noembed noframes col colgroup".split()
+    "head title meta link base style script noscript template iframe object embed audio video canvas datalist area param source track noembed noframes col colgroup".split()
 )
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul caption".split()
@@ -57,19 +59,38 @@ DEPTH = 20
 _NAME = re.compile(r"/?[A-Za-z][^\s/>]*")
 _ATTR = re.compile(r"""[\s/]*([^\s=/>"'][^\s=/>]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"'][^\s>]*))?""")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-_HIDING = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+_HIDING = re.compile(r"display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"(?<![\w-])visibility\s*:\s*(visible|initial|hidden|collapse)", re.I)
+#: Not rendered inside svg and math.
+FOREIGN_HIDDEN = {
+    "svg": frozenset("title desc metadata defs style script symbol clippath mask pattern marker lineargradient radialgradient filter".split()),
+    "math": frozenset("annotation annotation-xml".split()),
+}
+#: Elements of svg and math with HTML inside.
+HTML_INSIDE = frozenset("foreignobject mi mo mn ms mtext".split())
+#: Pieces of svg and math that stand apart.
+APART = frozenset("text mtr mtd".split())
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children", "hidden")
+    __slots__ = ("tag", "attrs", "children", "hidden", "visible", "space", "inside")
 
-    def __init__(self, tag: str, attrs: dict[str, str]):
+    def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None = None):
         self.tag, self.attrs, self.children = tag, attrs, []
-        self.hidden = tag in HIDDEN or "hidden" in attrs or bool(_HIDING.search(attrs.get("style", "")))
-
-
-def _tags(page: str) -> Iterator[tuple[str, str, dict]]:
-    """("text", text, {}), ("start", name, attributes), ("end", name, {})."""
+        # Where the element itself and where its children belong: svg, math, or neither.
+        self.space = tag if tag in FOREIGN_HIDDEN else parent.inside if parent else ""
+        self.inside = "" if tag in HTML_INSIDE else self.space
+        style = attrs.get("style", "")
+        self.hidden = tag in HIDDEN or "hidden" in attrs or bool(_HIDING.search(style)) or tag in FOREIGN_HIDDEN.get(self.space, ())
+        self.visible = parent.visible if parent else True
+        said = _VISIBILITY.findall(style) if style else []
+        if said:
+            self.visible = said[-1].lower() in ("visible", "initial")
+
+
+def _tags(page: str, foreign: list[bool]) -> Iterator[tuple[str, str, dict]]:
+    """("text", text, {}), ("start", name, attributes), ("end", name, {}); ``foreign`` says if svg or math is open, where
+    a tag may close itself."""
     at, size = 0, len(page)
     last = {q: page.rfind(q) for q in "\"'"}
     while at < size:
@@ -92,7 +113,7 @@ def _tags(page: str) -> Iterator[tuple[str, str, dict]]:
             yield "text", "<", {}
             at = lt + 1
             continue
-        name, pos, attrs = m.group().lower(), m.end(), {}
+        name, pos, attrs, slash = m.group().lower(), m.end(), {}, -1
         while pos < size and page[pos] != ">":
             if page[pos] in "\"'":  # a stray quote, or one that never ends
                 pos += 1
@@ -112,13 +133,16 @@ def _tags(page: str) -> Iterator[tuple[str, str, dict]]:
                         pos = size if pos < 0 else pos
                         break
             else:
+                slash = pos if page[pos] == "/" else slash
                 pos += 1
         at = pos + 1
         if name[0] == "/":
             yield "end", name[1:], {}
             continue
         yield "start", name, attrs
-        if name in RAW:
+        if foreign[0] and slash >= 0 and slash == pos - 1:
+            yield "end", name, {}
+        elif name in RAW:
             end = re.compile(rf"</{name}(?=[\s/>])", re.I).search(page, at)
             stop = end.start() if end else size
             yield "text", page[at:stop], {}
@@ -133,7 +157,7 @@ def _tags(page: str) -> Iterator[tuple[str, str, dict]]:
 def parse(page: str) -> Node:
     """The tree of a page, under a nameless root."""
     root = Node("", {})
-    stack, open_tags = [root], Counter()
+    stack, open_tags, foreign = [root], Counter(), [False]
 
     def close_to(k: int) -> None:
         while len(stack) > k:
@@ -150,8 +174,10 @@ def parse(page: str) -> Node:
                 return 0
         return 0
 
-    for what, value, attrs in _tags(page):
+    for what, value, attrs in _tags(page, foreign):
         if what == "text":
+            if not stack[-1].visible or stack[-1].inside == "svg" and not open_tags["text"]:
+                continue
             raw = stack[-1].tag in ("script", "style")
             stack[-1].children.append(value if raw else html.unescape(value))
             continue
@@ -165,7 +191,10 @@ def parse(page: str) -> Node:
                 k = nearest((value,), scope)
                 if k:
                     close_to(k)
+            foreign[0] = stack[-1].space != ""
             continue
+        while stack[-1].inside and value in BLOCKS:  # HTML ends an open svg or math
+            close_to(len(stack) - 1)
         if value in BLOCKS and (k := nearest(("p",), P_SCOPE)):
             close_to(k)
         if value in CLOSES and (k := nearest(*CLOSES[value])):
@@ -178,11 +207,12 @@ def parse(page: str) -> Node:
             close_to(k)
         elif value in BLOCKS and value != "html" and open_tags["head"] > 0 and (k := nearest(("head",), ())):
             close_to(k)
-        node = Node(value, attrs)
+        node = Node(value, attrs, stack[-1])
         stack[-1].children.append(node)
         if value not in VOID:
             stack.append(node)
             open_tags[value] += 1
+        foreign[0] = stack[-1].space != ""
     return root
 
 
@@ -338,6 +368,8 @@ def render(root: Node, depth: int = 0) -> str:
         if tag == "br":
             page.newline()
             continue
+        if tag == "hr" and not x.visible:
+            continue
         if tag == "hr":
             page.block(1)
             page.literal("---")
@@ -368,7 +400,7 @@ def render(root: Node, depth: int = 0) -> str:
                 counters[-1] += 1
             else:
                 mark = "- "
-            page.marker = mark
+            page.marker = mark if x.visible else None
             page.indents.append(" " * len(mark))
 
             def end_item(p=page):
@@ -379,6 +411,9 @@ def render(root: Node, depth: int = 0) -> str:
         elif tag in ("dd", "blockquote"):
             page.indents.append("  ")
             todo.append(page.indents.pop)
+        if x.space and tag in APART:
+            page.space = 1
+            todo.append(lambda p=page: setattr(p, "space", 1))
         if gap:
             todo.append((tag if tag in ("pre", "textarea") else "", gap))
         elif tag == "textarea":
