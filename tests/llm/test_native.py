@@ -11,7 +11,7 @@ from sediment.llm import chat_format as C
 from sediment.llm import fingerprint as P
 from sediment.llm import quality_rules as Q
 
-RUN = re.compile(P.RUN)
+CUT = re.compile(rf"(?<={P.ENDS}) (?={P.BEGINS})")
 
 
 def sha(x):
@@ -19,33 +19,43 @@ def sha(x):
 
 
 def tree(text):
-    paragraphs = re.findall(r"[^\n]*\n|[^\n]+", text)
-    sections, at = [], ""
-    for p in paragraphs:
-        if sections and not (at.endswith("\n\n") and p != "\n"):
-            sections[-1].append(p)
-        else:
-            sections.append([p])
-        at += p
-    leaves = [[sha(p) for p in s] for s in sections]
-    nodes = [sha("S" + "".join(s)) for s in leaves]
-    return leaves, nodes, sha("R" + "".join(nodes)), {m.group() for m in RUN.finditer(text)}
-
-
-def like(a, b):
-    if a[2] == b[2]:
-        return 1.0
-    most = max(len(a[3]), len(b[3]))
-    return len(a[3] & b[3]) / most if most else 0.0
-
-
-def changed(a, b):
-    out = []
-    for i, (ls, n) in enumerate(zip(b[0], b[1])):
-        if i >= len(a[1]) or a[1][i] != n:
-            old = a[0][i] if i < len(a[0]) else []
-            out += [(i, k) for k, x in enumerate(ls) if k >= len(old) or old[k] != x]
-    return out
+    """(root, sections of paragraphs of leaves), by one walk over the text."""
+    sections, fresh = [], True
+    lines = re.findall(r"[^\n]*\n|[^\n]+", text)
+    for i, p in enumerate(lines):
+        leaves = [sha(x)[:32] for x in CUT.split(p)]
+        if fresh:
+            sections.append([])
+        sections[-1].append(tuple(leaves))
+        blank_next = i + 1 < len(lines) and lines[i + 1] == "\n"
+        fresh = not blank_next and (p == "\n" or sha("P" + ",".join(leaves))[0] in "0123")
+    nodes = [sha("S" + "".join(sha("P" + ",".join(p)) for p in s)) for s in sections]
+    return sha("R" + "".join(nodes)), sections
+
+
+def outside(a, b):
+    """What is left of two lists without their common beginning and, after that, their common end."""
+    a, b, k = list(a), list(b), 0
+    while a and b and a[0] == b[0]:
+        a.pop(0), b.pop(0)
+        k += 1
+    while a and b and a[-1] == b[-1]:
+        a.pop(), b.pop()
+    return a, b, k
+
+
+def compared(a, b):
+    """(removed, added, likeness, places of the removed, places of the added)."""
+    if a[0] == b[0]:
+        return 0, 0, 1.0, [], []
+    x, y, k = outside(a[1], b[1])
+    before = sum(map(len, a[1][:k]))
+    p, q, k = outside([z for s in x for z in s], [z for s in y for z in s])
+    gone, came = [z for z in dict.fromkeys(p) if z not in q], [z for z in dict.fromkeys(q) if z not in p]
+    went, new = {z for t in gone for z in t}, {z for t in came for z in t}
+    n = sum(len({z for s in t[1] for r in s for z in r}) for t in (a, b))
+    at = lambda own, other: [before + k + i for i, z in enumerate(own) if z not in other]
+    return max(len(gone), len(p) - len(q)), max(len(came), len(q) - len(p)), 1 - max(len(went ^ new), 1) / n, at(p, q), at(q, p)
 
 
 def brute(rows):
@@ -56,7 +66,8 @@ def brute(rows):
         cut = len(t) // 4
         edited = t[: len(t) - cut] + following[:cut]
         a, b, c = tree(t), tree(edited), tree(following)
-        out.append((None if null else d, len(t), sha(edited), a[2], b[2], like(a, b), like(a, c), len(a[0]), sum(map(len, a[0])), len(changed(a, b))))
+        e = compared(a, b)
+        out.append((None if null else d, len(t), sha(edited), a[0], b[0], e[2], compared(a, c)[2], len(a[1]), sum(map(len, a[1])), *e[:2]))
     return out
 
 
@@ -94,12 +105,64 @@ def test_ids_far_apart_share_no_range(spark):
     assert got == {a: dict(rows)[b] for a, b in zip(ids, ids[1:] + ids[:1])}
 
 
-def test_changed_paragraphs_are_located(spark):
-    d = P.fingerprinted(spark.createDataFrame([(1, "a\nb\n\nc\nd\n\ne"), (2, "a\nb\n\nc\nX\n\ne")], "id long, text string")).collect()
-    assert d[0].fingerprint != d[1].fingerprint and d[0].section_nodes[0] == d[1].section_nodes[0] and d[0].section_nodes[2] == d[1].section_nodes[2]
-    both = spark.createDataFrame([(d[0].leaves, d[0].section_nodes, d[1].leaves, d[1].section_nodes)], "a array<array<string>>, b array<string>, c array<array<string>>, d array<string>")
-    got = both.select(P.changed_paragraphs(F.col("a"), F.col("b"), F.col("c"), F.col("d")).alias("x")).first().x
-    assert [tuple(p) for p in got] == [(1, 1)]
+def edits(spark, pairs):
+    d = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a string, b string")
+    d = d.select("i", P.tree("a").alias("a"), P.tree("b").alias("b"))
+    return [tuple(r.e) for r in d.select("i", P.compared("a", "b").alias("e")).orderBy("i").collect()]
+
+
+def test_differing_branches_locate_edits(spark):
+    rng = random.Random(4)
+    lines = [f"line {i} has " + " ".join(rng.choice(["some", "of", "these", "words", "and", "to"]) for _ in range(12)) + "\n" for i in range(40)]
+    whole = "".join(lines)
+    cases = {
+        "insert": lines[:11] + ["a new one\n"] + lines[11:], "top": ["a new one\n"] + lines, "delete": lines[:20] + lines[22:], "change": lines[:5] + ["other\n"] + lines[6:],
+        "twice": lines[:8] + [lines[7]] + lines[8:], "move": lines[1:] + lines[:1], "append": lines + ["end"], "word": [x.replace("line 9 has", "line 9 now has") for x in lines],
+    }
+    got = dict(zip(cases, edits(spark, [(whole, "".join(c)) for c in cases.values()])))
+    place = lambda k: (got[k][0], got[k][1], got[k][3], got[k][4])
+    assert place("insert") == (0, 1, [], [11]) and place("top") == (0, 1, [], [0]) and place("delete") == (2, 0, [20, 21], [])
+    assert place("change") == (1, 1, [5], [5]) and place("word") == (1, 1, [9], [9]) and place("append") == (0, 1, [], [40])
+    assert place("twice") == (0, 1, [], [8]) and place("move") == (0, 0, [], [])
+    assert all(0.9 < e[2] < 1 for e in got.values()) and got["word"][2] > 0.97
+    assert len(tree(whole)[1]) > 4  # without a blank line
+
+
+def test_edits_match_brute_force(spark):
+    rng = random.Random(9)
+    pairs = []
+    for t in texts(120):
+        lines = re.findall(r"[^\n]*\n|[^\n]+", t * 2)
+        for _ in range(rng.randrange(4)):
+            k = rng.randrange(len(lines) + 1)
+            kind = rng.choice(["in", "out", "swap", "copy"])
+            if kind == "in":
+                lines.insert(k, rng.choice(["new line\n", "\n", "word of it "]))
+            elif lines and kind == "out":
+                lines.pop(k % len(lines))
+            elif lines and kind == "swap":
+                lines.append(lines.pop(k % len(lines)))
+            elif lines:
+                lines.insert(k, lines[k % len(lines)])
+        pairs.append((t * 2, "".join(lines)))
+    pairs += [("", ""), ("", "a b"), ("x x x x", ""), ("a i a i a", "a i a")]
+    for (a, b), got in zip(pairs, edits(spark, pairs), strict=True):
+        assert got == compared(tree(a), tree(b)), (a, b)
+
+
+def test_one_word_more_costs_little(spark):
+    rng = random.Random(3)
+    bits = ["an", "be", "cor", "del", "est", "ing", "mo", "ter", "um", "vi"]
+    vocab = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 3))) for _ in range(400)]
+    rows = [" ".join(rng.choice(vocab) for _ in range(200)) for _ in range(20)]
+    assert all(e[2] > 0.9 for e in edits(spark, [(t, "first " + t) for t in rows]))
+    assert all(e[2] < 0.3 for e in edits(spark, list(zip(rows, rows[1:]))))
+
+
+def test_fingerprinted_replaces_its_columns(spark):
+    d = spark.createDataFrame([(1, "a b", 2, "t"), (2, None, 3, "t")], "id long, text string, fingerprint int, tree string")
+    rows = P.fingerprinted(d).collect()
+    assert [r.fingerprint for r in rows] == [tree("a b")[0], tree("")[0]] and rows[0].tree.root == rows[0].fingerprint and "text" in P.fingerprinted(d).columns
 
 
 def test_quality_rules_on_odd_rows(spark):
