@@ -14,8 +14,9 @@ as ``&amp;``, ``&lt;`` and ``&#91;`` (in roles also ``\\n`` as ``&#10;``), so no
 string of this template or of ``[INST]`` and ``</s>`` ones, and unescaping gives the text back.
 
 The loss mask lists (start, length) in code points of the assistant bodies. A turn's start is a running
-sum over the turns before it, taken before they are joined, and texts are read back by one split: both
-are linear in the conversation.
+sum over the turns before it, taken before they are joined. Turns are read back by one split, and what stands under the
+mask is cut out of the string, in four bytes a code point so that no cut counts characters: all is linear in the
+conversation. A mask that does not give the loss role's bodies is an error.
 
 Turns are ordered by turn, then role, then body; null turns come first; equal rows are separate turns.
 A null text or role is empty, a part of unknown or null type is text, a null conversation id is a
@@ -27,6 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.plan import computed_once
 from .common import table
 
 TURN, END = "<|turn|>", "<|end|>"
@@ -128,11 +130,17 @@ def formatted(turns: DataFrame) -> DataFrame:
     return c.withColumn("expanded_tokens", F.aggregate("attachments", F.lit(0).cast("long"), lambda n, a: n + a["part"]["tokens"]))
 
 
+def under_mask(formatted: str = "formatted", mask: str = "loss_mask") -> Column:
+    """The pieces of a string that a mask of (start, length) in code points covers, in its order."""
+    cut = "decode(substring(u, CAST(4 * m.start + 1 AS INT), CAST(4 * m.length AS INT)), 'UTF-32')"
+    return F.expr(f"transform(array(encode({formatted}, 'UTF-32')), u -> transform({mask}, m -> {cut}))[0]")
+
+
 def read_back(c: DataFrame) -> DataFrame:
-    """Adds ``turns`` (array of role, text, start of the body), parsed from ``formatted`` alone, and
-    ``loss_text``: what stands under the mask, unescaped."""
+    """Adds ``turns`` (array of role and text), parsed from ``formatted`` alone, and ``loss_text``: what stands under
+    the mask, unescaped. A mask that covers anything but the bodies under the loss role raises an error."""
     pieces = F.filter(F.split("formatted", r"<\|turn\|>"), lambda x: x != "")
-    c = c.withColumn("__pieces", pieces)
+    c = c.withColumn("__pieces", pieces).withColumn("__masked", under_mask())
     parsed = F.transform(
         "__pieces",
         lambda x: F.struct(
@@ -140,17 +148,13 @@ def read_back(c: DataFrame) -> DataFrame:
             F.substr(x, F.instr(x, "\n") + 1, F.length(x) - F.instr(x, "\n") - len(END)).alias("body"),
         ),
     )
-    c = c.withColumn("__turns", parsed)
-    # The k-th masked span is the k-th body under the loss role; its length must be the mask's.
-    under = F.filter("__turns", lambda x: x["role"] == LOSS_ROLE)
-    c = c.withColumn("__under", under)
-    spans = F.transform(
-        F.arrays_zip(F.col("__under").alias("u"), F.col("loss_mask").alias("m")),
-        lambda z: F.when(F.length(z["u"]["body"]) == z["m"]["length"], unescaped(z["u"]["body"])),
-    )
-    c = c.withColumn("loss_text", F.array_join(spans, ""))
+    c = computed_once(c.withColumn("__turns", parsed))
+    bodies = F.transform(F.filter("__turns", lambda x: x["role"] == LOSS_ROLE), lambda x: x["body"])
+    wrong = F.raise_error(F.concat(F.lit("the loss mask is not that of the text, conversation "), F.coalesce(F.col("conv_id").cast("string"), F.lit("null"))))
+    loss = F.when(F.col("__masked") == bodies, F.array_join(F.transform("__masked", unescaped), "")).otherwise(wrong.cast("string"))
+    c = c.withColumn("loss_text", loss)
     c = c.withColumn("turns", F.transform("__turns", lambda x: F.struct(x["role"].alias("role"), unescaped(x["body"]).alias("text"))))
-    return c.drop("__pieces", "__turns", "__under")
+    return c.drop("__pieces", "__masked", "__turns")
 
 
 def op7_chat_format(conversations: DataFrame) -> DataFrame:

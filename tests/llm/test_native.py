@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -204,6 +205,19 @@ def test_chat_is_read_back(spark):
     assert C.op7_chat_format(d.limit(0)).collect() == []
 
 
+def test_a_wrong_mask_is_an_error(spark):
+    rows = [(1, 0, "user", "hé <b> 😀"), (1, 1, "assistant", "yes & 😀 no"), (1, 2, "user", "x"), (1, 3, "assistant", "")]
+    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    c = C.formatted(d.select("conv_id", "turn", "role", C.text_parts(F.col("text")).alias("parts")))
+    assert C.read_back(c).first().loss_text == "yes & 😀 no"
+    for off, more in ((7, 0), (-1, 0), (0, 1), (0, -1)):
+        moved = F.transform("loss_mask", lambda m: F.struct((m["start"] + off).alias("start"), (m["length"] + more).alias("length")))
+        with pytest.raises(Exception, match="loss mask is not that of the text"):
+            C.read_back(c.withColumn("loss_mask", moved)).select("loss_text").collect()
+    with pytest.raises(Exception, match="loss mask is not that of the text"):
+        C.read_back(c.withColumn("loss_mask", F.slice("loss_mask", 1, 1))).select("loss_text").collect()
+
+
 def test_mask_and_control_strings(spark):
     d = spark.createDataFrame(turns(), "conv_id long, turn long, role string, text string")
     for r in C.formatted(d.select("conv_id", "turn", "role", C.text_parts(F.col("text")).alias("parts"))).collect():
