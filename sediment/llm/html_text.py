@@ -7,19 +7,21 @@ vanish; ``script``, ``style``, ``textarea`` and ``title`` are raw up to their en
 text. Character references are resolved.
 
 *Visibility.* ``head`` and what belongs there, scripts, styles, templates, embedded media, and elements with the
-attribute ``hidden`` or the inline style ``display:none`` are not rendered, nor is anything inside them.
-``visibility:hidden`` is inherited until an element is ``visible`` again. MathML is text but for its annotations; of
-``svg`` the contents of ``text`` and ``foreignObject`` are, but for titles, descriptions and definitions (what only
-``use`` brings up is not).
+attribute ``hidden`` or ``display: none`` are not rendered, nor is anything inside them. ``visibility`` is inherited until
+an element sets it again. Both are declared in ``style`` attributes and in the page's ``style`` elements, where rules for
+tags, classes, ids and compounds of them count, by importance, specificity and order; rules that need more of the page
+(descendants, states, attributes) and those of media other than screens do not. The contents of ``object`` are shown.
+MathML is text but for its annotations; of ``svg`` the contents of ``text`` and ``foreignObject`` are, but for titles,
+descriptions and definitions (what only ``use`` brings up is not).
 
 *Layout.* White space collapses but for ``pre`` and ``textarea``. Blocks begin a line; paragraphs, headings,
 lists, tables and quotes have a blank line about them; ``br`` breaks a line and ``hr`` draws one. List items are
-marked ``- `` or numbered and indented by depth. Tables are grids: cells of a column are padded to one width
-and parted by `` | ``, a cell over several columns takes them up. Tables that are nested deeper than ``DEPTH`` are
-rendered as blocks.
+marked ``- `` or numbered and indented by depth, to ``INDENT`` columns at most. Tables are grids: cells of a column are padded to one width
+and parted by `` | ``, a cell over several columns or rows takes them up. A cell is one line; a table inside a cell is
+in that line, with its cells parted alike.
 
-A null or empty page gives the empty text, a page of text without tags that text; the longest pages take time in
-proportion. Other columns are carried, a column named like an output is replaced, an empty table gives an empty
+A null or empty page gives the empty text, a page of text without tags that text; time grows with the page's length,
+however deep its elements lie. Other columns are carried, a column named like an output is replaced, an empty table gives an empty
 result.
 """
 
@@ -27,17 +29,19 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import carried, through_python
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noembed noframes".split())
 HIDDEN = frozenset(
-    "head title meta link base style script noscript template iframe object embed audio video canvas datalist area param source track noembed noframes col colgroup".split()
+    "head title meta link base style script noscript template iframe embed audio video canvas datalist area param source track noembed noframes col colgroup".split()
 )
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul caption".split()
@@ -53,14 +57,18 @@ CLOSES = {
 }
 #: Elements that keep an open p outside them open.
 P_SCOPE = frozenset("button table td th caption html body object template".split())
+#: Lines are indented by depth, but not further.
+INDENT = 80
 CELL_SCOPE = frozenset(("table",))
-DEPTH = 20
+ROW_GROUPS = frozenset("table tbody thead tfoot".split())
 
 _NAME = re.compile(r"/?[A-Za-z][^\s/>]*")
 _ATTR = re.compile(r"""[\s/]*([^\s=/>"'][^\s=/>]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"'][^\s>]*))?""")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-_HIDING = re.compile(r"display\s*:\s*none", re.I)
-_VISIBILITY = re.compile(r"(?<![\w-])visibility\s*:\s*(visible|initial|hidden|collapse)", re.I)
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+_SELECTOR = re.compile(r"([A-Za-z][\w-]*|\*)?((?:[.#][\w-]+)*)")
+_SCREEN = re.compile(r"@media\s+(?:only\s+)?(?:all|screen)\s*", re.I)
+_PROPERTIES = ("display", "visibility")
 #: Not rendered inside svg and math.
 FOREIGN_HIDDEN = {
     "svg": frozenset("title desc metadata defs style script symbol clippath mask pattern marker lineargradient radialgradient filter".split()),
@@ -80,12 +88,119 @@ class Node:
         # Where the element itself and where its children belong: svg, math, or neither.
         self.space = tag if tag in FOREIGN_HIDDEN else parent.inside if parent else ""
         self.inside = "" if tag in HTML_INSIDE else self.space
-        style = attrs.get("style", "")
-        self.hidden = tag in HIDDEN or "hidden" in attrs or bool(_HIDING.search(style)) or tag in FOREIGN_HIDDEN.get(self.space, ())
-        self.visible = parent.visible if parent else True
-        said = _VISIBILITY.findall(style) if style else []
-        if said:
-            self.visible = said[-1].lower() in ("visible", "initial")
+        self.hidden = tag in HIDDEN or tag in FOREIGN_HIDDEN.get(self.space, ())
+        self.visible = True
+
+
+def declarations(style: str) -> dict[str, tuple[bool, str]]:
+    """The properties that matter here as (important, value); of equal names the last, important ones first."""
+    out: dict[str, tuple[bool, str]] = {}
+    for part in _COMMENT.sub(" ", style).split(";") if "/*" in style else style.split(";"):
+        name, colon, value = part.partition(":")
+        name = name.strip().lower()
+        if colon and name in _PROPERTIES:
+            value, mark, _ = value.lower().partition("!")
+            important = bool(mark) and "important" in part.lower()
+            if value.strip() and (important or not out.get(name, (False,))[0]):
+                out[name] = (important, value.strip())
+    return out
+
+
+class Sheet:
+    """The rules of a page's style elements that are looked up by tag, class and id."""
+
+    def __init__(self):
+        self.by: dict[str, list[tuple]] = {}
+        self.count = 0
+
+    def read(self, css: str) -> None:
+        css = _COMMENT.sub(" ", css)
+        at, size = 0, len(css)
+        while at < size:
+            brace, end = css.find("{", at), css.find(";", at)
+            head = css[at : brace if brace >= 0 else size].strip()
+            if head.startswith("@") and 0 <= end < (brace if brace >= 0 else size):  # a statement such as @import
+                at = end + 1
+                continue
+            if brace < 0:
+                return
+            if head.startswith("}"):  # the end of a block that was entered
+                head = head.lstrip("} \t\r\n\f")
+            if _SCREEN.fullmatch(head):
+                at = brace + 1
+                continue
+            if head.startswith("@"):
+                at = self._past(css, brace)
+                continue
+            close = css.find("}", brace)
+            close = size if close < 0 else close
+            found = declarations(css[brace + 1 : close])
+            if found:
+                for selector in head.split(","):
+                    self._add(selector.strip(), found)
+            at = close + 1
+
+    @staticmethod
+    def _past(css: str, brace: int) -> int:
+        depth, at = 1, brace + 1
+        while depth:
+            m = re.compile("[{}]").search(css, at)
+            if not m:
+                return len(css)
+            depth += 1 if m.group() == "{" else -1
+            at = m.end()
+        return at
+
+    def _add(self, selector: str, found: dict) -> None:
+        m = _SELECTOR.fullmatch(selector)
+        if not m or not selector:
+            return
+        tag = (m.group(1) or "*").lower()
+        marks = re.findall(r"[.#][\w-]+", m.group(2))
+        ids = sum(x[0] == "#" for x in marks)
+        self.count += 1
+        rank = (ids, len(marks) - ids, int(tag != "*"), self.count)
+        self.by.setdefault(marks[0] if marks else tag, []).append((tag, frozenset(marks), rank, found))
+
+    def styles(self, node: Node) -> dict[str, str]:
+        """The winning values for an element; what it says itself is stronger than rules, and weaker than important ones."""
+        own = {"." + c for c in node.attrs.get("class", "").split()} if self.by else set()
+        if self.by and node.attrs.get("id"):
+            own.add("#" + node.attrs["id"])
+        best: dict[str, tuple] = {}
+        for key in (*own, node.tag, "*") if self.by else ():
+            for tag, marks, rank, found in self.by.get(key, ()):
+                if tag in ("*", node.tag) and marks <= own:
+                    for name, (important, value) in found.items():
+                        best[name] = max(best.get(name, ()), (important, 0, rank, value))
+        if "style" in node.attrs:
+            for name, (important, value) in declarations(node.attrs["style"]).items():
+                best[name] = max(best.get(name, ()), (important, 1, (), value))
+        return {name: x[-1] for name, x in best.items()}
+
+
+def styled(root: Node) -> Node:
+    """Decides which elements are hidden and which are visible, and drops the text of those that are not."""
+    sheet, todo = Sheet(), [root]
+    while todo:
+        x = todo.pop()
+        if x.tag == "style" and not x.space:
+            sheet.read("".join(c for c in x.children if isinstance(c, str)))
+        todo.extend(c for c in reversed(x.children) if not isinstance(c, str))
+    todo = [(root, True)]
+    while todo:
+        x, visible = todo.pop()
+        said = sheet.styles(x) if sheet.by or "style" in x.attrs else {}
+        shown = said.get("display", "none" if "hidden" in x.attrs else "")
+        x.hidden = x.hidden or shown == "none"
+        if x.hidden:
+            continue
+        word = said.get("visibility", "")
+        x.visible = visible if word in ("", "inherit", "unset") else word not in ("hidden", "collapse")
+        if not x.visible:
+            x.children = [c for c in x.children if not isinstance(c, str)]
+        todo.extend((c, x.visible) for c in x.children if not isinstance(c, str))
+    return root
 
 
 def _tags(page: str, foreign: list[bool]) -> Iterator[tuple[str, str, dict]]:
@@ -157,26 +272,28 @@ def _tags(page: str, foreign: list[bool]) -> Iterator[tuple[str, str, dict]]:
 def parse(page: str) -> Node:
     """The tree of a page, under a nameless root."""
     root = Node("", {})
-    stack, open_tags, foreign = [root], Counter(), [False]
+    stack, foreign = [root], [False]
+    places: dict[str, list[int]] = {}  # where in the stack the open elements of each tag are
+
+    def push(node: Node) -> None:
+        places.setdefault(node.tag, []).append(len(stack))
+        stack.append(node)
 
     def close_to(k: int) -> None:
         while len(stack) > k:
-            open_tags[stack.pop().tag] -= 1
+            places[stack.pop().tag].pop()
+
+    def last(names) -> int:
+        return max((places[n][-1] for n in names if places.get(n)), default=0)
 
     def nearest(names, scope) -> int:
-        if not any(open_tags[n] > 0 for n in names):
-            return 0
-        for k in range(len(stack) - 1, 0, -1):
-            tag = stack[k].tag
-            if tag in names:
-                return k
-            if tag in scope:
-                return 0
-        return 0
+        """The innermost open element of these names, unless a boundary lies inside it; 0 if there is none."""
+        k = last(names)
+        return k if k and k >= last(scope) else 0
 
     for what, value, attrs in _tags(page, foreign):
         if what == "text":
-            if not stack[-1].visible or stack[-1].inside == "svg" and not open_tags["text"]:
+            if stack[-1].inside == "svg" and not places.get("text"):
                 continue
             raw = stack[-1].tag in ("script", "style")
             stack[-1].children.append(value if raw else html.unescape(value))
@@ -186,7 +303,7 @@ def parse(page: str) -> Node:
                 stack[-1].children.append(Node("br", {}))
             elif value == "p" and not nearest(("p",), P_SCOPE):
                 stack[-1].children.append(Node("p", {}))
-            elif open_tags[value] > 0 and value not in ("body", "html"):
+            elif places.get(value) and value not in ("body", "html"):
                 scope = () if value in ("table", "tr", "td", "th", "tbody", "thead", "tfoot", "caption") else ("table",)
                 k = nearest((value,), scope)
                 if k:
@@ -201,19 +318,22 @@ def parse(page: str) -> Node:
             close_to(k)
         if value in ("tbody", "thead", "tfoot", "tr") and (k := nearest(("tr",), CELL_SCOPE)):
             close_to(k)
-        if value in ("body", "html") and open_tags[value] > 0:
+        if value in ("body", "html") and places.get(value):
             continue
         if value == "body" and (k := nearest(("head",), ())):
             close_to(k)
-        elif value in BLOCKS and value != "html" and open_tags["head"] > 0 and (k := nearest(("head",), ())):
+        elif value in BLOCKS and value != "html" and places.get("head") and (k := nearest(("head",), ())):
             close_to(k)
+        if value in ("td", "th") and stack[-1].tag in ROW_GROUPS:
+            row = Node("tr", {}, stack[-1])
+            stack[-1].children.append(row)
+            push(row)
         node = Node(value, attrs, stack[-1])
         stack[-1].children.append(node)
         if value not in VOID:
-            stack.append(node)
-            open_tags[value] += 1
+            push(node)
         foreign[0] = stack[-1].space != ""
-    return root
+    return styled(root)
 
 
 class _Page:
@@ -223,8 +343,9 @@ class _Page:
         self.out: list[str] = []
         self.breaks = self.space = 0
         self.fresh = True  # nothing on this line yet
-        self.indents: list[str] = []
+        self.indent = 0
         self.marker: str | None = None
+        self.bars = 0  # cells of a table inside a cell that were begun since the last text
 
     def block(self, lines: int) -> None:
         self.space = 0
@@ -236,16 +357,16 @@ class _Page:
             self.fresh = True
         self.breaks = 0
         if self.fresh:
-            lead = "".join(self.indents)
-            if self.marker is not None:
-                lead = "".join(self.indents[:-1]) + self.marker
-                self.marker = None
-            self.out.append(lead)
+            mark, self.marker = self.marker or "", None
+            self.out.append(" " * min(self.indent - len(mark), INDENT) + mark)
             self.fresh = False
             self.space = 0
         elif self.space:
             self.out.append(" ")
             self.space = 0
+        if self.bars:
+            self.out.append(" | " * self.bars)
+            self.bars = 0
 
     def text(self, s: str) -> None:
         s = _SPACE.sub(" ", s)
@@ -315,37 +436,59 @@ def _rows(table: Node) -> tuple[list[list[Node]], list[Node]]:
     return rows, captions
 
 
-def _span(cell: Node) -> int:
-    n = cell.attrs.get("colspan", "1").strip()
-    return min(max(int(n), 1), 1000) if n.isascii() and n.isdigit() and len(n) < 6 else 1
-
-
-def _grid(rows: list[list[Node]], depth: int) -> list[str]:
-    cells = [[(" ".join(render(c, depth + 1).split()), _span(c)) for c in row] for row in rows]
-    width: dict[int, int] = {}
-    for row in cells:
-        at = 0
-        for text, span in row:
-            if span == 1:
-                width[at] = max(width.get(at, 0), len(text))
-            at += span
+def _span(cell: Node, name: str, most: int) -> int:
+    n = cell.attrs.get(name, "1").strip()
+    return min(max(int(n), 0), most) if n.isascii() and n.isdigit() and len(n) < 6 else 1
+
+
+def _grid(rows: list[list[Node]]) -> list[str]:
+    """The lines of a table. Columns in which no cell begins take no room."""
+    placed: list[list[tuple[int, int, str]]] = []  # (column, columns, text) by row
+    taken: dict[int, tuple[int, int]] = {}  # a column of a cell over several rows: the row it ends before, the column after
+    for r, row in enumerate(rows):
+        at, line, below = 0, [], []
+        for cell in row:
+            while taken.get(at, (0, 0))[0] > r:
+                at = taken[at][1]
+            across = max(_span(cell, "colspan", 1000), 1)
+            down = _span(cell, "rowspan", 65534) or len(rows)
+            line.append((at, across, " ".join(render(cell, flat=True).split())))
+            if down > 1:
+                below.append((at, at + across, r + down))
+            at += across
+        for first, after, end in below:
+            for k in range(first, after):
+                taken[k] = (end, after)
+        placed.append(line)
+    columns = sorted({at for line in placed for at, _, _ in line})
+    width = dict.fromkeys(columns, 0)
+    for line in placed:
+        for at, across, text in line:
+            if across == 1:
+                width[at] = max(width[at], len(text))
+    before = [0]  # room of the columns so far, bars included
+    for c in columns:
+        before.append(before[-1] + width[c] + 3)
     lines = []
-    for row in cells:
-        at, out = 0, []
-        for text, span in row:
-            room = sum(width.get(k, 0) for k in range(at, at + span)) + 3 * (span - 1)
-            out.append(text.ljust(room))
-            at += span
-        line = " | ".join(out).rstrip()
-        if any(text for text, _ in row):
-            lines.append(line)
+    for line in placed:
+        if not any(text for *_, text in line):
+            continue
+        out, k = [], 0
+        for at, across, text in line:
+            i, j = bisect_left(columns, at), bisect_left(columns, at + across)
+            if i > k:  # columns that a cell from above takes up, or that the row lacks
+                out.append(" " * (before[i] - before[k] - 3))
+            out.append(text.ljust(before[j] - before[i] - 3))
+            k = j
+        lines.append(" | ".join(out).rstrip())
     return lines
 
 
-def render(root: Node, depth: int = 0) -> str:
-    """The visible text of a tree."""
+def render(root: Node, flat: bool = False) -> str:
+    """The visible text of a tree; ``flat`` for a cell, in which tables are no grids."""
     page = _Page()
     counters: list[int | None] = []  # of the open lists; None for unordered ones
+    cells: list[int] = []  # of the open rows of tables inside a cell
     # A node, a closing action, or text; the stack stands for recursion.
     todo: list = [root]
     pre = 0
@@ -375,13 +518,13 @@ def render(root: Node, depth: int = 0) -> str:
             page.literal("---")
             page.block(1)
             continue
-        if tag == "table" and depth < DEPTH:
+        if tag == "table" and not flat:
             rows, captions = _rows(x)
             page.block(2)
             for c in captions:
-                page.literal(" ".join(render(c, depth + 1).split()))
+                page.literal(" ".join(render(c, flat=True).split()))
                 page.block(1)
-            for line in _grid(rows, depth):
+            for line in _grid(rows):
                 page.literal(line)
                 page.block(1)
             page.block(2)
@@ -390,7 +533,18 @@ def render(root: Node, depth: int = 0) -> str:
         if tag in BLOCKS:
             gap = 2 if tag in SPACED and not (tag in ("ul", "ol", "menu", "dir") and counters) else 1
             page.block(gap)
-        if tag in ("ul", "ol", "menu", "dir"):
+        if tag == "tr" and flat:
+            cells.append(0)
+
+            def end_row(p=page, bars=page.bars):
+                cells.pop()
+                p.bars = min(p.bars, bars)
+
+            todo.append(end_row)
+        elif tag in ("td", "th") and cells and x is not root:
+            page.bars += cells[-1] > 0
+            cells[-1] += 1
+        elif tag in ("ul", "ol", "menu", "dir"):
             start = x.attrs.get("start", "1").strip()
             counters.append((int(start) if start.isascii() and start.isdigit() and len(start) < 10 else 1) if tag == "ol" else None)
             todo.append(counters.pop)
@@ -401,16 +555,16 @@ def render(root: Node, depth: int = 0) -> str:
             else:
                 mark = "- "
             page.marker = mark if x.visible else None
-            page.indents.append(" " * len(mark))
+            page.indent += len(mark)
 
-            def end_item(p=page):
-                p.indents.pop()
+            def end_item(p=page, n=len(mark)):
+                p.indent -= n
                 p.marker = None
 
             todo.append(end_item)
         elif tag in ("dd", "blockquote"):
-            page.indents.append("  ")
-            todo.append(page.indents.pop)
+            page.indent += 2
+            todo.append(lambda p=page: setattr(p, "indent", p.indent - 2))
         if x.space and tag in APART:
             page.space = 1
             todo.append(lambda p=page: setattr(p, "space", 1))
@@ -436,16 +590,13 @@ def extract(page: str | None) -> str:
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         text = pa.array([extract(p.as_py()) for p in batch.column(0)], pa.string())
-        yield pa.RecordBatch.from_arrays([text, *batch.columns[1:]], names=["__text", *batch.schema.names[1:]])
+        yield pa.RecordBatch.from_arrays([text, *batch.columns[1:]], names=batch.schema.names)
 
 
 def extracted(pages: DataFrame, markup: str = "html", into: str = "text") -> DataFrame:
     """``pages`` with the visible text in ``into`` in place of the markup."""
-    rest = [c for c in pages.columns if c not in (markup, into)]
-    inner = pages.select(F.col(f"`{markup}`").cast("string").alias("__html"), *[F.col(f"`{c}`") for c in rest])
-    declared = ", ".join(["__text string", *[f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema.fields[1:]]])
-    out = inner.mapInArrow(_extract, declared)
-    return out.select(*[F.col(f"`{c}`") for c in rest], F.col("__text").alias(into))
+    out, others = through_python(pages, markup, "string", _extract, "string")
+    return out.select(*carried(others, into), F.col("value").alias(into))
 
 
 def op8_html_text(pages: DataFrame) -> DataFrame:
