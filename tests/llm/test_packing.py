@@ -1,13 +1,19 @@
+import os
 import random
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
 from tokenizers import Tokenizer
 
 from sediment.llm import packing as P
 
+DIR = "/root/testdata/sf0.1"
+
 
 def brute_cost(at, cost, length):
     f = [0.0] + [float("inf")] * (len(at) - 1)
@@ -79,6 +85,31 @@ def test_pieces_hold_every_id_once(spark):
     assert padding < 0.02 * total
 
 
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="no tables here")
+def test_ids_of_every_document_are_those_of_tokenizers():
+    encode = P.encoder(None, None)
+    texts = pq.read_table(f"{DIR}/documents.parquet", columns=["text"]).column("text").to_pylist()
+    assert len(texts) >= 10_000
+    odd = ["", " ", "\n\n  \t", "<|endoftext|> x", "\u200d\u0301é", "x" * 30000, "1" * 5000, "'S 's ’s", "日本語の文", "\U0001f469\u200d\U0001f4bb", "a\r\n b", "\x00\x7f\x85\xa0"]
+    for t in texts + odd:
+        assert np.array_equal(encode(t or ""), encode.slow(t or "")), (t or "")[:80]
+
+
+def test_a_difference_is_an_error(monkeypatch):
+    encode = P.encoder(None, None)
+    monkeypatch.setattr(type(encode), "slow", lambda self, text: np.zeros(1, np.uint32))
+    monkeypatch.setattr(P, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": lambda self: 0})())}))
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(200)), "text": [f"text {i} " * (1 + 400 * (i % 50)) for i in range(200)]})
+    with pytest.raises(ValueError, match="differ on document"):
+        list(P._packed(iter([batch]), None, None, 2048, 1))
+
+
+def test_ids_of_any_type_and_other_columns(spark):
+    d = spark.createDataFrame([("a", "one two", 1, 2), (None, "three", 3, 4)], "doc_id string, text string, start int, ids int")
+    got = P.packed(d).collect()
+    assert {r.doc_id for r in got} == {"a", None} and all(isinstance(r.ids, (bytes, bytearray)) for r in got)
+
+
 def test_a_small_rest_becomes_powers_of_two(spark):
     got = P.op10_packing(spark.createDataFrame([(1, "one two three four five six seven eight nine ten. " * 40)], "doc_id long, text string").coalesce(1)).collect()
     sizes = {r.sequence_id: r.sequence_tokens for r in got}.values()
