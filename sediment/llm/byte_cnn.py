@@ -5,19 +5,20 @@ each overlapping the next by half, cover the whole text; in each chunk every fil
 The chunks' vectors are combined by their mean and their maximum, and a small dense network turns those into one
 probability. As embedding and filter are linear, they are folded into ``WIDTH`` tables of 256 rows to score.
 
-It is fitted by Adam on at most ``PER_CLASS`` labelled rows of each class, of each at most ``SAMPLED`` chunks
-(these bounds are parameters; rows and chunks are picked by hash and seed, over the whole table and the whole
-text). The output is shifted to the classes' shares among all labelled rows. Scoring covers every byte of every
-text. Labels, language, source and id are never inputs.
+It is fitted by Adam on at most ``PER_CLASS`` labelled rows of each class (a parameter), picked by hash over the whole
+table, each with its whole text: a step runs the filters over every byte of its texts, the gradient goes to the places of
+the peaks. One row in ``VALIDATION`` is kept aside; every ``LOOK`` steps its loss is measured, the best weights are kept,
+and fitting ends after ``PATIENCE`` looks without one that is better by ``BETTER``. The driver holds those rows' texts. The output is shifted
+to the classes' shares among all labelled rows. Scoring covers every byte of every text. Labels, language, source and id
+are never inputs.
 
 A null or empty text is one chunk of zero bytes and gets a score too. Rows with a null label are not used; a
 repeated id counts each time. Without both classes the score is the share of label 1, or 0.5 without labels.
-An empty table gives an empty result.
+An empty table gives an empty result. Other columns are carried whatever their names; ``score`` is replaced.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
@@ -28,14 +29,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.plan import spread
-from .common import table
+from .common import carried, table, through_python
 
 WIDTH, FILTERS, EMBEDDING, HIDDEN = 6, 24, 8, 16
 CHUNK = 256
 STEP = CHUNK // 2
 PER_CLASS = 1500
-SAMPLED = 16
-STEPS, BATCH, RATE = 700, 32, 0.01
+STEPS, BATCH, RATE = 400, 32, 0.01
+VALIDATION, LOOK, PATIENCE, BETTER = 8, 25, 3, 0.002
 THRESHOLD = 0.7
 #: Bytes scored at once.
 PIECE = STEP * 256
@@ -52,17 +53,8 @@ class Network:
 
     def chunk_vectors(self, text: bytes) -> np.ndarray:
         """The pooled filters of every chunk."""
-        steps = max(1, -(-len(text) // STEP))
-        peaks = np.empty((steps, FILTERS), np.float32)
-        whole = np.zeros(steps * STEP + WIDTH - 1, np.intp)
-        whole[: len(text)] = np.frombuffer(text, np.uint8)
-        for at in range(0, steps * STEP, PIECE):
-            end = min(at + PIECE, steps * STEP)
-            out = self.tables[0].take(whole[at:end], axis=0)
-            for j in range(1, WIDTH):
-                out += self.tables[j].take(whole[at + j : end + j], axis=0)
-            peaks[at // STEP : end // STEP] = out.reshape(-1, STEP, FILTERS).max(axis=1)
-        pooled = np.maximum(peaks[:-1], peaks[1:]) if steps > 1 else peaks
+        peaks, _ = _peaks(self.tables, _padded(text), places=False)
+        pooled = np.maximum(peaks[:-1], peaks[1:]) if len(peaks) > 1 else peaks
         return np.maximum(pooled + self.bias, 0)
 
     def score(self, text: bytes) -> float:
@@ -74,80 +66,128 @@ class Network:
         return float(1 / (1 + np.exp(-np.clip(h @ w2 + b2, -30, 30))))
 
 
-def _windows(batches: Iterator[pa.RecordBatch], sampled: int) -> Iterator[pa.RecordBatch]:
-    """Per text at most ``sampled`` of its chunks, with the bytes a filter needs beyond them, joined."""
-    size = CHUNK + WIDTH - 1
-    for batch in batches:
-        out = []
-        for doc_id, text in zip(batch.column("doc_id"), batch.column("body")):
-            text = text.as_py() or b""
-            n = max(1, -(-len(text) // STEP) - 1)
-            rng = np.random.Generator(np.random.PCG64(zlib.crc32(str(doc_id.as_py()).encode())))
-            at = np.sort(rng.permutation(n)[:sampled]) * STEP if n > sampled else np.arange(n) * STEP
-            out.append(b"".join(text[a : a + size].ljust(size, b"\0") for a in at))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(out, pa.binary())], names=["doc_id", "label", "windows"])
+def _padded(text: bytes) -> np.ndarray:
+    """The bytes with zeros up to whole steps, and those that the last filters see beyond."""
+    whole = np.zeros(max(1, -(-len(text) // STEP)) * STEP + WIDTH - 1, np.uint8)
+    whole[: len(text)] = np.frombuffer(text, np.uint8)
+    return whole
+
+
+def _peaks(tables: np.ndarray, whole: np.ndarray, places: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
+    """Per step of ``STEP`` bytes and filter the highest output and, if asked for, where it is."""
+    steps = len(whole) // STEP
+    peaks = np.empty((steps, FILTERS), tables.dtype)
+    where = np.empty((steps, FILTERS), np.int64) if places else None
+    for at in range(0, steps * STEP, PIECE):
+        end = min(at + PIECE, steps * STEP)
+        piece = whole[at : end + WIDTH - 1].astype(np.intp)
+        out = tables[0].take(piece[: end - at], axis=0)
+        for j in range(1, WIDTH):
+            out += tables[j].take(piece[j : end - at + j], axis=0)
+        out = out.reshape(-1, STEP, FILTERS)
+        own = slice(at // STEP, end // STEP)
+        if places:
+            # Filters last is how the outputs lie; an argmax along the steps is faster on rows.
+            rows = np.ascontiguousarray(out.transpose(0, 2, 1))
+            best = rows.argmax(axis=2)
+            peaks[own] = np.take_along_axis(rows, best[:, :, None], axis=2)[:, :, 0]
+            where[own] = best + (np.arange(at, end, STEP))[:, None]
+        else:
+            peaks[own] = out.max(axis=1)
+    return peaks, where
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def _descent(chunks: np.ndarray, first: np.ndarray, y: np.ndarray, seed: int, steps: int) -> tuple:
-    """Adam on the mean loss, both classes weighing the same. ``chunks`` are windows of bytes, those of row i begin at ``first[i]``."""
+def _start(seed: int, kind=np.float32) -> dict[str, np.ndarray]:
     rng = np.random.Generator(np.random.PCG64(seed))
-    normal = lambda scale, *shape: (rng.standard_normal(shape) * scale).astype(np.float32)
-    p = {
-        "e": normal(0.5, 256, EMBEDDING), "k": normal(1 / np.sqrt(WIDTH * EMBEDDING), WIDTH, EMBEDDING, FILTERS), "b": np.zeros(FILTERS, np.float32),
-        "w1": normal(1 / np.sqrt(2 * FILTERS), 2 * FILTERS, HIDDEN), "b1": np.zeros(HIDDEN, np.float32), "w2": normal(1 / np.sqrt(HIDDEN), HIDDEN), "b2": np.zeros((), np.float32),
+    normal = lambda scale, *shape: (rng.standard_normal(shape) * scale).astype(kind)
+    return {
+        "e": normal(0.5, 256, EMBEDDING), "k": normal(1 / np.sqrt(WIDTH * EMBEDDING), WIDTH, EMBEDDING, FILTERS), "b": np.zeros(FILTERS, kind),
+        "w1": normal(1 / np.sqrt(2 * FILTERS), 2 * FILTERS, HIDDEN), "b1": np.zeros(HIDDEN, kind), "w2": normal(1 / np.sqrt(HIDDEN), HIDDEN), "b2": np.zeros((), kind),
+    }
+
+
+def _gradients(p: dict[str, np.ndarray], texts: list[np.ndarray], y: np.ndarray, weight: np.ndarray, backwards: bool = True) -> tuple[float, dict]:
+    """The mean weighted loss of some padded texts, and its gradient."""
+    tables = np.einsum("be,wef->wbf", p["e"], p["k"])
+    n = len(texts)
+    features, saved = np.empty((n, 2 * FILTERS), tables.dtype), []
+    # All texts in one array, parted by a step of zeros, as each ends in them.
+    gap = np.zeros(STEP, np.uint8)
+    joined = np.concatenate([x for whole in texts for x in (whole[: -(WIDTH - 1)], gap)] + [gap[: WIDTH - 1]])
+    every_peak, every_place = _peaks(tables, joined, places=backwards)
+    at = 0
+    for i, whole in enumerate(texts):
+        own = slice(at, at + len(whole) // STEP)
+        peaks, where = every_peak[own], every_place[own] if backwards else None
+        at = own.stop + 1
+        if len(peaks) > 1:  # a chunk is a step and the next
+            second = peaks[1:] > peaks[:-1]
+            chunk = np.where(second, peaks[1:], peaks[:-1])
+            where = np.where(second, where[1:], where[:-1]) if backwards else None
+        else:
+            chunk = peaks
+        chunk = chunk + p["b"]
+        c = np.maximum(chunk, 0)
+        features[i, :FILTERS], features[i, FILTERS:] = c.mean(axis=0), c.max(axis=0)
+        if backwards:
+            saved.append((chunk > 0, c == features[i, FILTERS:], where))
+    h = np.maximum(features @ p["w1"] + p["b1"], 0)
+    z = np.clip(h @ p["w2"] + p["b2"], -30, 30)
+    loss = float((weight * (np.logaddexp(0, z) - y * z)).mean())
+    if not backwards:
+        return loss, {}
+    g = (weight * (1 / (1 + np.exp(-z)) - y) / n).astype(tables.dtype)
+    dh = np.outer(g, p["w2"]) * (h > 0)
+    df = dh @ p["w1"].T
+    dc = [(df[i, :FILTERS] / len(on) + df[i, FILTERS:] * top / top.sum(axis=0)) * on for i, (on, top, _) in enumerate(saved)]
+    dc, where = np.concatenate(dc), np.concatenate([w for *_, w in saved])
+    filters, dt = np.arange(FILTERS), np.empty_like(tables)
+    for j in range(WIDTH):
+        cell = joined[where + j].astype(np.intp) * FILTERS + filters
+        dt[j] = np.bincount(cell.ravel(), dc.ravel(), 256 * FILTERS).reshape(256, FILTERS)
+    return loss, {
+        "e": np.einsum("wbf,wef->be", dt, p["k"]), "k": np.einsum("wbf,be->wef", dt, p["e"]), "b": dc.sum(axis=0),
+        "w1": features.T @ dh, "b1": dh.sum(axis=0), "w2": h.T @ g, "b2": g.sum(),
     }
+
+
+def _descent(texts: list[bytes], y: np.ndarray, seed: int, steps: int) -> tuple:
+    """Adam on the mean loss, both classes weighing the same."""
+    rng = np.random.Generator(np.random.PCG64(seed + 1))
+    p = _start(seed)
     m, v = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}
-    filters = np.arange(FILTERS)
     weight = (0.5 / np.where(y == 1, y.mean(), 1 - y.mean())).astype(np.float32)
-    t = 0
-    while t < steps:
-        order = rng.permutation(len(y))
+    padded = [_padded(t) for t in texts]
+    aside = np.arange(len(y)) % VALIDATION == VALIDATION - 1
+    learn, watch = np.flatnonzero(~aside), np.flatnonzero(aside)
+    best, kept, worse, t = np.inf, p, 0, 0
+    while t < steps and worse < PATIENCE:
+        order = rng.permutation(learn)
         for at in range(0, len(order), BATCH):
             rows = order[at : at + BATCH]
-            counts = first[rows + 1] - first[rows]
-            pick = np.concatenate([np.arange(first[r], first[r + 1]) for r in rows])
-            owner = np.repeat(np.arange(len(rows)), counts)
-            x = chunks[pick].astype(np.intp)
-            tables = np.einsum("be,wef->wbf", p["e"], p["k"])
-            z = tables[0].take(x[:, :CHUNK], axis=0)
-            for j in range(1, WIDTH):
-                z += tables[j].take(x[:, j : j + CHUNK], axis=0)
-            where = z.argmax(axis=1)
-            peak = np.take_along_axis(z, where[:, None], axis=1)[:, 0] + p["b"]
-            c = np.maximum(peak, 0)
-            starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
-            mean, top = np.add.reduceat(c, starts) / counts[:, None], np.maximum.reduceat(c, starts)
-            d = np.concatenate([mean, top], axis=1)
-            h = np.maximum(d @ p["w1"] + p["b1"], 0)
-            s = 1 / (1 + np.exp(-np.clip(h @ p["w2"] + p["b2"], -30, 30)))
-            # Backwards.
-            g = (weight[rows] * (s - y[rows])).astype(np.float32) / len(rows)
-            dh = np.outer(g, p["w2"]) * (h > 0)
-            dd = dh @ p["w1"].T
-            tie = c == top[owner]
-            dc = dd[owner, :FILTERS] / counts[owner][:, None] + dd[owner, FILTERS:] * tie / np.add.reduceat(tie, starts)[owner]
-            dc = (dc * (peak > 0)).astype(np.float32)
-            dt = np.zeros_like(tables)
-            for j in range(WIDTH):
-                np.add.at(dt[j], (np.take_along_axis(x, where + j, axis=1), filters[None, :]), dc)
-            grad = {
-                "e": np.einsum("wbf,wef->be", dt, p["k"]), "k": np.einsum("wbf,be->wef", dt, p["e"]), "b": dc.sum(axis=0),
-                "w1": d.T @ dh, "b1": dh.sum(axis=0), "w2": h.T @ g, "b2": g.sum(),
-            }
+            _, grad = _gradients(p, [padded[r] for r in rows], y[rows], weight[rows])
             t += 1
             rate = RATE * max(0.02, 1 - t / steps)
             for k in p:
                 m[k] = 0.9 * m[k] + 0.1 * grad[k]
                 v[k] = 0.99 * v[k] + 0.01 * grad[k] ** 2
                 p[k] = (p[k] - rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-7)).astype(np.float32)
-    return np.einsum("be,wef->wbf", p["e"], p["k"]).astype(np.float32), p["b"], (p["w1"], p["b1"], p["w2"], float(p["b2"]))
-
-
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, sampled: int = SAMPLED, steps: int = STEPS, seed: int = 7) -> Network:
+            if t % LOOK == 0 or t == steps:
+                loss = _gradients(p, [padded[r] for r in watch], y[watch], weight[watch], backwards=False)[0] if len(watch) else -t
+                if loss < best - BETTER:
+                    best, kept, worse = loss, {k: x.copy() for k, x in p.items()}, 0
+                else:
+                    worse += 1
+            if t >= steps or worse >= PATIENCE:
+                break
+    return np.einsum("be,wef->wbf", kept["e"], kept["k"]).astype(np.float32), kept["b"], (kept["w1"], kept["b1"], kept["w2"], float(kept["b2"]))
+
+
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, steps: int = STEPS, seed: int = 7) -> Network:
     """From ``docs`` (``doc_id, text``) and ``labels`` (``doc_id, label`` of 0 or 1)."""
     labels = labels.select("doc_id", F.col("label").cast("int").alias("label")).where("label IN (0, 1) AND doc_id IS NOT NULL")
     n = dict(labels.groupBy("label").count().collect())
@@ -156,31 +196,27 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, sampled:
     pick = F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(f":{seed}")))
     some = [labels.where(F.col("label") == k).orderBy(pick, "doc_id").limit(per_class) for k in (0, 1)]
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("body")).join(F.broadcast(some[0].union(some[1])), "doc_id")
-    got = rows.select("doc_id", "label", "body").mapInArrow(lambda b: _windows(b, sampled), "doc_id long, label int, windows binary").collect()
-    got.sort(key=lambda r: (r.doc_id, r.label, bytes(r.windows)))
+    # Repeated ids may have more texts than rows were picked.
+    got = rows.select("doc_id", "label", "body").orderBy(pick, "label", F.md5("body")).limit(2 * per_class).collect()
+    got.sort(key=lambda r: (r.doc_id, r.label, bytes(r.body or b"")))
     y = np.array([r.label for r in got], np.float32)
     if not 0 < y.sum() < len(y):
         return Network(share=n[1] / (n[0] + n[1]))
-    size = CHUNK + WIDTH - 1
-    first = np.concatenate([[0], np.cumsum([len(r.windows) // size for r in got])])
-    chunks = np.frombuffer(b"".join(bytes(r.windows) for r in got), np.uint8).reshape(-1, size)
-    tables, bias, (w1, b1, w2, b2) = _descent(chunks, first, y, seed, steps)
+    tables, bias, (w1, b1, w2, b2) = _descent([bytes(r.body or b"") for r in got], y, seed, steps)
     return Network(tables, bias, (w1, b1, w2, b2 + float(np.log(n[1] / n[0]))))
 
 
 def _score(batches: Iterator[pa.RecordBatch], network: Network) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         scores = [network.score(x.as_py() or b"") for x in batch.column(0)]
-        yield pa.RecordBatch.from_arrays([pa.array(scores, pa.float64()), *batch.columns[1:]], names=["score", *batch.schema.names[1:]])
+        yield pa.RecordBatch.from_arrays([pa.array(scores, pa.float64()), *batch.columns[1:]], names=batch.schema.names)
 
 
 def scored(docs: DataFrame, network: Network, text: str = "text") -> DataFrame:
     """``docs`` without its text, and ``score``."""
-    rest = [c for c in docs.columns if c not in (text, "score")]
-    inner = spread(docs.select(F.col(f"`{text}`").cast("binary").alias("__text"), *[F.col(f"`{c}`") for c in rest]))
-    declared = ", ".join(["score double", *[f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema.fields[1:]]])
     run = partial(_score, network=network)
-    return inner.mapInArrow(lambda b: run(b), declared)
+    out, others = through_python(spread(docs), text, "binary", lambda b: run(b), "double")
+    return out.select(*carried(others, "score"), F.col("value").alias("score"))
 
 
 def quality_of(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -42,23 +42,74 @@ def test_held_out_labels_have_no_part(spark):
     assert a == b
 
 
-def test_every_byte_counts():
-    docs, labels = corpus(300)
-    rows = [(d, t.encode(), q) for (d, t), (_, q, _) in zip(docs, labels)]
-    size = B.CHUNK + B.WIDTH - 1
-    chunks = np.stack([np.frombuffer(t[:size].ljust(size, b"\0"), np.uint8) for _, t, _ in rows])
-    tables, bias, dense = B._descent(chunks, np.arange(len(rows) + 1), np.array([q for *_, q in rows], np.float32), 7, 60)
-    net = B.Network(tables, bias, dense)
-    # The chunk vectors of a long text against a loop over all chunks and positions.
-    text = (" ".join(["river house of night"] * 300) + "$$$***").encode()
-    got = net.chunk_vectors(text)
-    padded = text.ljust(-(-len(text) // B.STEP) * B.STEP, b"\0") + b"\0" * (B.WIDTH - 1)
-    for i in (0, 1, len(got) // 2, len(got) - 1):
-        want = np.full(B.FILTERS, -np.inf)
-        for p in range(i * B.STEP, i * B.STEP + B.CHUNK):
-            want = np.maximum(want, sum(tables[j][padded[p + j]] for j in range(B.WIDTH)))
-        assert np.allclose(got[i], np.maximum(want + bias, 0), atol=1e-4)
-    assert net.score(b"") == net.score(b"") and 0 <= net.score(b"") <= 1
+def trained(n=300, steps=60):
+    docs, labels = corpus(n)
+    return B.Network(*B._descent([t.encode() for _, t in docs], np.array([q for _, q, _ in labels], np.float32), 7, steps))
+
+
+def slow_score(net, text):
+    """The whole network, byte by byte and filter by filter."""
+    size = max(1, -(-len(text) // B.STEP)) * B.STEP
+    padded = text.ljust(size, b"\0") + b"\0" * (B.WIDTH - 1)
+    chunks = []
+    for at in range(0, max(1, size - B.STEP), B.STEP):
+        out = []
+        for f in range(B.FILTERS):
+            best = max(sum(float(net.tables[j][padded[p + j]][f]) for j in range(B.WIDTH)) for p in range(at, min(at + B.CHUNK, size)))
+            out.append(max(best + float(net.bias[f]), 0.0))
+        chunks.append(out)
+    w1, b1, w2, b2 = net.dense
+    x = [sum(c[f] for c in chunks) / len(chunks) for f in range(B.FILTERS)] + [max(c[f] for c in chunks) for f in range(B.FILTERS)]
+    h = [max(sum(x[i] * float(w1[i][k]) for i in range(2 * B.FILTERS)) + float(b1[k]), 0.0) for k in range(B.HIDDEN)]
+    return 1 / (1 + np.exp(-(sum(a * float(b) for a, b in zip(h, w2)) + b2)))
+
+
+def test_scores_match_loops_over_every_byte():
+    net = trained()
+    long = (" ".join(["river house of night"] * 60) + "$$$***").encode()
+    for text in (b"", b"x", b"a" * 128, b"ab" * 64 + b"c", "über señor".encode(), long, long + b"%%%"):
+        assert abs(net.score(text) - slow_score(net, text)) < 1e-4, text[:20]
+
+
+def test_gradients_match_differences():
+    rng = random.Random(5)
+    texts = [B._padded(bytes(rng.randrange(97, 123) for _ in range(n))) for n in (0, 5, 130, 400, 700)]
+    y, weight = np.array([1, 0, 1, 0, 1.0]), np.array([0.8, 1.2, 1, 1, 0.9])
+    p = B._start(3, np.float64)
+    loss, grad = B._gradients(p, texts, y, weight)
+    pick = np.random.Generator(np.random.PCG64(1))
+    for name, x in p.items():
+        seen = 0
+        for _ in range(200):
+            at = tuple(int(pick.integers(n)) for n in x.shape)
+            if name == "e" and not 97 <= at[0] < 123:
+                continue
+            step, old = 1e-6, float(x[at])
+            x[at] = old + step
+            up = B._gradients(p, texts, y, weight, backwards=False)[0]
+            x[at] = old - step
+            down = B._gradients(p, texts, y, weight, backwards=False)[0]
+            x[at] = old
+            assert abs((up - down) / (2 * step) - grad[name][at]) < 1e-5 + 1e-3 * abs(grad[name][at]), (name, at)
+            if (seen := seen + 1) == 6:
+                break
+    assert loss > 0
+
+
+def test_training_sees_the_end_of_a_long_text():
+    # Only the last bytes tell the classes apart, far beyond any prefix or handful of chunks.
+    rng = random.Random(2)
+    body = " ".join(rng.choice(["river", "house", "night", "stone"]) for _ in range(1500))
+    texts = [(body + (" #@#@#@#@" if i % 2 else " of it all")).encode() for i in range(64)]
+    net = B.Network(*B._descent(texts, np.array([i % 2 for i in range(64)], np.float32), 7, 120))
+    assert all((net.score(t) > 0.5) == bool(i % 2) for i, t in enumerate(texts))
+
+
+def test_clashing_columns(spark):
+    net = B.Network(share=0.25)
+    d = spark.createDataFrame([("t", 1, 2, 3, 4, "x")], "text string, score int, __text int, value int, c0 int, `a.b` string")
+    out = B.scored(d, net)
+    assert out.columns == ["__text", "value", "c0", "a.b", "score"] and tuple(out.first()) == (2, 3, 4, "x", 0.25)
 
 
 def test_edge_cases(spark):
