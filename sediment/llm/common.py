@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -59,6 +60,22 @@ def discard(*frames: DataFrame) -> None:
             p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def settled(make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """The frame that ``make`` gives, as a table; all other tables that were written for it are deleted."""
+    before = set(_PATHS)
+    out = written(make(), label)
+    discard(*[df for key, (df, _) in list(_PATHS.items()) if key not in before and df is not out])
+    return out
+
+
+@atexit.register
+def _discard_the_rest() -> None:
+    """Tables that a result still read go with the program, if its session is still there."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        discard(*[df for df, _ in list(_PATHS.values())])
+
+
 @contextmanager
 def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
     """Actions inside send rows to Python in batches of at most ``rows``, which bounds a worker's memory."""

@@ -18,13 +18,16 @@ empty and linked with nothing). Two documents are linked if 100 * |A and B| >= p
    dropped as soon as its posterior probability of reaching the threshold is under ``MISS``. (The sizes
    of the sets bound the similarity from above, exactly.)
 5. *Exact.* The full sets of the survivors decide.
-6. *The rest.* Buckets that still hold more than one component are compared in full, in blocks of
-   ``BLOCK`` nodes by ``BLOCK`` nodes: steps 4 and 5 in memory, a pair once, in the first band its nodes
-   share, and not at all once its ends are in one component. Only links that join components are emitted.
-   So no link that a bucket shows is lost to the stars, and no group's pairs are ever rows.
+6. *The rest.* Buckets that still hold more than one component are compared further: nodes outside a bucket's largest
+   component with each other and with that component, in blocks of about ``BLOCK`` nodes and ``ITEMS`` shingles by as
+   many. First only signatures meet, in memory: a pair once, in the first band its nodes share. Then the sets of
+   survivors alone are sent to their block and decide; a pair whose ends were joined there before is passed over.
+   So no link that a bucket shows is lost to the stars, no group's pairs are compared as rows, and a group whose stars
+   joined it sends its sets once.
 
 The result has a row per input row. A row without an id is linked with nothing, its component is null
-and it is kept. Rows that repeat an id and a text fall in one class. An empty table gives an empty result.
+and it is kept. Rows that repeat an id and a text fall in one class; texts that share an id are documents of their own,
+and a component's id is the smallest id in it. An empty table gives an empty result.
 Sets are compared by 64-bit shingle hashes.
 """
 
@@ -42,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.plan import spread
-from .common import arrow_batches, discard, written
+from .common import arrow_batches, discard, settled, written
 from .components import components
 
 SHINGLE = 5
@@ -51,6 +54,12 @@ PERMUTATIONS = 120
 BATCH = 24
 MISS = 1e-6
 BLOCK = 256
+#: Shingles of a block, on average; a block holds one node at least.
+ITEMS = 1 << 20
+#: Partners of a node that one task gets; a node with more is sent to several.
+HUB = 256
+#: Tasks that the rows of one bucket are dealt over.
+SPLIT = 8
 #: Ids that may be broadcast to pick the texts whose sets are needed; with more, they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Rows that a Python worker holds at once.
@@ -200,64 +209,63 @@ def _pruned(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         yield batch.select(["a", "b"]).take(pa.array(stay))
 
 
-class _Forest:
-    """Union-find over the components that meet in one block."""
-
-    def __init__(self, labels: np.ndarray):
-        self.own = np.unique(labels, return_inverse=True)[1]
-        self.up = list(range(int(self.own.max()) + 1)) if len(labels) else []
-
-    def root(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = x = self.up[self.up[x]]
-        return x
-
-    def of(self, rows: np.ndarray) -> np.ndarray:
-        flat = np.array([self.root(x) for x in range(len(self.up))])
-        return flat[self.own[rows]]
-
-    def join(self, i: int, j: int) -> bool:
-        a, b = self.root(int(self.own[i])), self.root(int(self.own[j]))
-        self.up[max(a, b)] = min(a, b)
-        return a != b
-
-
-def _common(one: np.ndarray, many: list[np.ndarray]) -> np.ndarray:
-    """The sizes of the intersections of one sorted set with many."""
-    flat = np.concatenate(many)
-    at = one.searchsorted(flat)
+def _common(one: np.ndarray, two: np.ndarray) -> int:
+    """The size of the intersection of two sorted sets."""
+    if not len(one) or not len(two):
+        return 0
+    at = one.searchsorted(two)
     at[at == len(one)] = 0
-    return np.add.reduceat(one[at] == flat, np.cumsum([0, *map(len, many[:-1])]))
+    return int((one[at] == two).sum())
 
 
-def _blockwise(rows: pa.Table, percent: int = PERCENT) -> pa.Table:
-    """Links across components in one block of a bucket, as many as join components.
-
-    A pair is looked at in the first band that its nodes share. Signatures prune it, full sets decide; what is
-    joined by then needs no look.
-    """
+def _met(rows: pa.Table, percent: int = PERCENT) -> pa.Table:
+    """Pairs across components in one block of a bucket that no batch of minima prunes, each in the first band that its
+    nodes share."""
     node, comp, side, band, n = (rows.column(c).to_numpy() for c in ("node", "component", "side", "band", "n"))
     sig = _matrix(rows.column("signature").combine_chunks())
     keys = np.array(rows.column("bands").to_pylist(), np.int64).reshape(len(node), layout(percent)[0])
-    items = [np.asarray(x.values).view(np.uint64) for x in rows.column("items").combine_chunks()]
-    one = bool((side == side[0]).all()) if len(side) else True
-    left = np.flatnonzero(side == side[0]) if len(side) else side
+    one = bool((side == side[0]).all())
+    left = np.flatnonzero(side == side[0])
     right = left if one else np.flatnonzero(side != side[0])
-    forest = _Forest(comp)
     out_a, out_b = [], []
     for i in left:
         to = right[right > i] if one else right
-        to = to[100 * np.minimum(n[to], n[i]) >= percent * np.maximum(n[to], n[i])]
+        to = to[(comp[to] != comp[i]) & (100 * np.minimum(n[to], n[i]) >= percent * np.maximum(n[to], n[i]))]
         to = to[~(keys[to, : band[i]] == keys[i, : band[i]]).any(axis=1)]
-        to = to[forest.of(to) != forest.root(int(forest.own[i]))]
         if len(to):
             to = to[_likely(np.broadcast_to(sig[i], (len(to), PERMUTATIONS)), sig[to], percent)]
-        if len(to):
-            both = _common(items[i], [items[j] for j in to])
-            for j in to[100 * both >= percent * (n[i] + n[to] - both)]:
-                if forest.join(i, j):
-                    out_a.append(node[i]), out_b.append(node[j])
-    return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+            out_a.append(np.full(len(to), i)), out_b.append(to)
+    a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (out_a, out_b))
+    same = {c: pa.array(np.repeat(rows.column(c).to_numpy()[:1], len(a)), t) for c, t in (("key", pa.int64()), ("kind", pa.int32()), ("i", pa.int32()), ("j", pa.int32()))}
+    return pa.table(same | {"a": node[a], "b": node[b], "ca": comp[a], "cb": comp[b]})
+
+
+MET = "key long, kind int, i int, j int, a long, b long, ca long, cb long"
+
+
+def _decided(pairs: pa.Table, sets: pa.Table, percent: int = PERCENT) -> pa.Table:
+    """Of the survivors of a block those whose full sets reach the threshold, as many as join components."""
+    items = {k: np.asarray(x.values).view(np.uint64) for k, x in zip(sets.column("node").to_pylist(), sets.column("items").combine_chunks())}
+    a, b = pairs.column("a").to_numpy(), pairs.column("b").to_numpy()
+    own = np.unique(np.concatenate([pairs.column("ca").to_numpy(), pairs.column("cb").to_numpy()]), return_inverse=True)[1]
+    up = list(range(int(own.max()) + 1)) if len(own) else []
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    out = []
+    for k in np.lexsort((b, a)):
+        x, y = root(int(own[k])), root(int(own[len(a) + k]))
+        if x == y:
+            continue
+        one, two = items[int(a[k])], items[int(b[k])]
+        both = _common(one, two)
+        if 100 * both >= percent * (len(one) + len(two) - both):
+            up[max(x, y)] = min(x, y)
+            out.append(k)
+    return pa.table({"a": pa.array(a[out], pa.int64()), "b": pa.array(b[out], pa.int64())})
 
 
 def _close(a: str, b: str, percent: int):
@@ -274,55 +282,125 @@ def _sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
     return sets
 
 
+def _hubs(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``pairs`` with ``part``, which deals the partners ``b`` of a node ``a`` over tasks, and the nodes ``a`` with more than
+    one part, ``a, parts``."""
+    hubs = written(pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB).cast("int").alias("parts")).where("parts > 1"), "hubs")
+    few = F.broadcast(hubs) if hubs.count() <= BROADCAST_IDS else hubs
+    part = F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1)))
+    return pairs.join(few, "a", "left").withColumn("part", part.cast("int")).drop("parts"), few
+
+
+def _to_both(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
+    """Each pair with the columns of its nodes, as ``<column>_a`` and ``<column>_b``. The columns of a node ``a`` are sent
+    once per part, those of ``b`` once per pair."""
+    split, hubs = _hubs(pairs)
+    out = split.join(table.select(F.col("node").alias("b"), *[F.col(c).alias(f"{c}_b") for c in columns]), "b")
+    own = table.select(F.col("node").alias("a"), *[F.col(c).alias(f"{c}_a") for c in columns]).join(hubs, "a", "left")
+    own = own.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return out.join(own, ["a", "part"])
+
+
 def _exact(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs ``a, b`` whose full sets reach the threshold."""
     pairs = written(pairs.distinct(), "pairs")
     sets = _sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), docs)
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("ia")), "a")
-    both = both.join(sets.select(F.col("node").alias("b"), F.col("items").alias("ib")), "b")
-    common = F.size(F.array_intersect("ia", "ib"))
-    union = F.size("ia") + F.size("ib") - common
+    both = _to_both(pairs, sets, "items")
+    common = F.size(F.array_intersect("items_a", "items_b"))
+    union = F.size("items_a") + F.size("items_b") - common
     links = written(both.where(100 * common >= percent * union).select("a", "b").distinct(), "links")
     discard(pairs, sets)
     return links
 
 
+def _by_bucket(rows: DataFrame, buckets: DataFrame) -> DataFrame:
+    """``rows`` (``key, node, ...``) with the columns of their bucket. A bucket's row is sent to ``SPLIT`` tasks, which share
+    its rows."""
+    parts = F.explode(F.sequence(F.lit(0), F.lit(SPLIT - 1)))
+    dealt = rows.withColumn("__part", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(SPLIT)).cast("int"))
+    return dealt.join(buckets.withColumn("__part", parts), ["key", "__part"]).drop("__part")
+
+
 def _stars(nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """(rows ``key, node, band, rep, c`` of buckets with company, survivors of the comparison with ``rep``)."""
     spread = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     buckets = spread.groupBy("key").agg(F.min("node").alias("rep"), F.count("*").alias("c")).where("c > 1")
-    rows = written(spread.join(buckets, "key"), "buckets")
+    rows = written(_by_bucket(spread, buckets), "buckets")
     pairs = rows.where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct()
-    sig = nodes.select("node", "signature", "n_shingles")
-    pairs = pairs.join(sig.toDF("a", "sa", "na"), "a").join(sig.toDF("b", "sb", "nb"), "b").where(_close("na", "nb", percent))
-    return rows, pairs.mapInArrow(lambda b: _pruned(b, percent), "a long, b long")
+    both = _to_both(written(pairs, "stars"), nodes, "signature", "n_shingles")
+    both = both.where(_close("n_shingles_a", "n_shingles_b", percent)).select("a", "b", F.col("signature_a").alias("sa"), F.col("signature_b").alias("sb"))
+    return rows, both.mapInArrow(lambda b: _pruned(b, percent), "a long, b long")
 
 
 def _rest(rows: DataFrame, nodes: DataFrame, found: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Links across components in buckets of three and more nodes, enough of them to join what is linked."""
-    rows = rows.where("c > 2").select("key", "node", "band", "c")
-    rows = rows.join(found, "node", "left").select("key", "node", "band", "c", F.coalesce("component", "node").alias("component"))
-    open_keys = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    rows = written(rows.join(open_keys, "key"), "open")
-    sets = _sets(rows.select("node"), docs)
-    open_rows = rows
-    rows = rows.withColumn("blocks", F.ceil(F.col("c") / F.lit(BLOCK)).cast("int"))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    met = F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1),
-        lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j"), (F.col("own") > k).cast("int").alias("side")),
+    own = nodes.select("node", F.col("n_shingles").alias("n")).join(found, "node", "left").select("node", "n", F.coalesce("component", "node").alias("component"))
+    rows = rows.where("c > 2").select("key", "node", "band").join(own, "node")
+    parts = rows.groupBy("key", "component").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
+    buckets = parts.groupBy("key").agg(F.count("*").alias("p"), F.sum("m").alias("c"), F.sum("s").alias("s"), F.max(F.struct("m", "component", "s")).alias("main")).where("p > 1")
+    blocks = lambda count, items: F.greatest(F.ceil(count / F.lit(BLOCK)), F.ceil(items / F.lit(ITEMS))).cast("int")
+    buckets = buckets.select(
+        "key", F.col("main.component").alias("main"), blocks(F.col("main.m"), F.col("main.s")).alias("inner"),
+        blocks(F.col("c") - F.col("main.m"), F.col("s") - F.col("main.s")).alias("outer"),
     )
-    rows = rows.select("key", "node", "band", "component", F.explode(met).alias("m")).select("key", "node", "band", "component", "m.*")
-    rows = rows.join(nodes.select("node", "signature", "bands", F.col("n_shingles").alias("n")), "node").join(sets, "node")
-    links = written(rows.groupBy("key", "i", "j").applyInArrow(lambda t: _blockwise(t, percent), "a long, b long").distinct(), "links")
-    discard(open_rows, sets)
-    return links
+    rows = written(_by_bucket(rows, buckets), "open")
+    inside = F.col("component") == F.col("main")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.when(inside, F.col("inner")).otherwise(F.col("outer"))).cast("int"))
+
+    def place(kind: int, i, j, side):
+        return F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
+
+    zero = F.lit(0)
+    all_of = lambda n: F.sequence(zero, F.col(n) - 1)
+    others = F.transform(all_of("outer"), lambda k: place(0, F.least(k, F.col("own")), F.greatest(k, F.col("own")), F.col("own") > k))
+    mains = F.transform(all_of("inner"), lambda k: place(1, F.col("own"), k, F.lit(0)))
+    meets = F.when(inside, F.transform(all_of("outer"), lambda k: place(1, k, F.col("own"), F.lit(1)))).otherwise(F.concat(others, mains))
+    rows = rows.select("key", "node", "band", "component", F.explode(meets).alias("m")).select("key", "node", "band", "component", "m.*")
+    rows = rows.join(nodes.select("node", "signature", "bands", F.col("n_shingles").alias("n")), "node")
+    block = ["key", "kind", "i", "j"]
+    pairs = written(rows.groupBy(*block).applyInArrow(lambda t: _met(t, percent), MET), "met")
+    needed = written(pairs.select(*block, F.col("a").alias("node")).union(pairs.select(*block, "b")).distinct(), "needed")
+    sets = _sets(needed.select("node"), docs)
+    asked, given = pairs.groupBy(*block), needed.join(sets, "node").groupBy(*block)
+    links = asked.cogroup(given).applyInArrow(lambda p, s: _decided(p, s, percent), "a long, b long")
+    return written(links.distinct(), "links")
+
+
+def _keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """If some id has several texts: ``docs`` with a number of (id, text) in ``doc_id``'s place, ``__id`` in its own, and the table of
+    numbers, which ascend with the ids. Otherwise None; ids alone are read if none repeats."""
+    ids = docs.where("doc_id IS NOT NULL")
+    again = ids.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    again = written(again, "again")
+    if again.isEmpty() or ids.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(_digest()).alias("lo"), F.max(_digest()).alias("hi")).where("lo < hi").isEmpty():
+        return None
+    names = ids.select("doc_id", _digest().alias("__digest")).distinct()
+    keys = written(names.orderBy("doc_id", "__digest").withColumn("__key", F.monotonically_increasing_id()).withColumnRenamed("doc_id", "__id"), "keys")
+    given = docs.withColumn("__digest", _digest())
+    given = given.join(keys.withColumnRenamed("__digest", "__of"), (given["doc_id"] == F.col("__id")) & (given["__digest"] == F.col("__of")), "left")
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != "doc_id"]
+    return written(given.select(F.col("__key").alias("doc_id"), *rest, given["doc_id"].alias("__id")), "keyed"), keys
 
 
 def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, set_id, component_id, kept`` for each row of ``docs`` (``doc_id, text``)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    # The result reads the sketch, the nodes and the components; all other tables go once they are used.
+
+    def make() -> DataFrame:
+        keyed = _keyed(docs)
+        if keyed is None:
+            return _linked(docs, percent)
+        given, keys = keyed
+        by_key = _linked(given.select("doc_id", "text"), percent)
+        names = keys.select(F.col("__key"), F.col("__id"))
+        out = by_key.join(names.toDF("doc_id", "id"), "doc_id", "left").join(names.toDF("component_id", "of"), "component_id", "left")
+        out = out.select(F.col("id").alias("doc_id"), "n_shingles", "set_id", F.col("of").alias("component_id"))
+        return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+    return settled(make, "linked")
+
+
+def _linked(docs: DataFrame, percent: int) -> DataFrame:
     with arrow_batches(docs.sparkSession, BATCH_ROWS):
         every = written(sketch(docs, percent), "sketch")
         classes = every.where("set_id IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_id").agg(
@@ -336,7 +414,6 @@ def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         more = _rest(rows, nodes, found, docs, percent)
         if not more.isEmpty():
             found = components(links.union(more))
-        discard(rows, links, more)
     label = nodes.select("set_id", "node", "copies").join(found, "node", "left")
     label = label.select("set_id", F.coalesce("component", "node").alias("component"), "copies", "node")
     label = label.where("copies > 1 OR component <> node").select("set_id", "component")
@@ -349,20 +426,12 @@ def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 def deduplicated(docs: DataFrame, percent: int = STAGE_PERCENT) -> DataFrame:
     """The rows of ``docs`` that stay: one of each group, and all that have no id. Texts that share an id are decided
     on one by one."""
-    names = written(docs.select("doc_id", _digest().alias("__digest")).where("doc_id IS NOT NULL").distinct(), "names")
-    if names.groupBy("doc_id").count().where("count > 1").isEmpty():
-        kept = _undropped(docs, percent)
-        discard(names)
-        return kept
-    # Keys of (id, text) in the order of the ids stand for the ids.
-    keys = names.orderBy("doc_id", "__digest").withColumn("__key", F.monotonically_increasing_id())
-    keys = written(keys.withColumnRenamed("doc_id", "__id"), "keys")
-    keyed = docs.withColumn("__digest", _digest())
-    match = (keyed["doc_id"] == keys["__id"]) & (keyed["__digest"] == keys["__digest"])
-    keyed = written(keyed.join(keys, match, "left").select(*[F.col(f"`{c}`") for c in docs.columns], "__key"), "keyed")
-    kept = _undropped(keyed.withColumn("__id", F.col("doc_id")).withColumn("doc_id", F.col("__key")), percent)
-    discard(names, keys)
-    return kept.withColumn("doc_id", F.col("__id")).select(*docs.columns)
+    # Under names of their places, no column of docs can clash with one in here.
+    names = docs.columns
+    clear = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
+    keyed = _keyed(clear)
+    kept = _undropped(clear if keyed is None else keyed[0], percent)
+    return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
 
 
 def _digest():
@@ -370,11 +439,13 @@ def _digest():
 
 
 def _undropped(docs: DataFrame, percent: int) -> DataFrame:
-    gone = written(linked(docs, percent), "decisions")
+    """The rows that stay, where an id has one text."""
+    gone = settled(lambda: _linked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), percent), "decisions")
     again = not gone.where("doc_id IS NOT NULL").groupBy("doc_id", "set_id").count().where("count > 1").isEmpty()
     drop = written(gone.where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
     few = F.broadcast(drop) if drop.count() <= BROADCAST_IDS else drop
     kept = docs.join(few, docs["doc_id"] == few["__gone"], "left_anti")
+    discard(gone)
     if not again:
         return kept
     none = kept.where("doc_id IS NULL")

@@ -98,11 +98,65 @@ def test_blocks_cover_every_pair_across_components():
         sig = [M.signature(s.view(np.uint64)) for s in sets]
         keys = [M.bands(s).tolist() for s in sig]
     shared = next(k for k in range(M.BANDS) if keys[1][k] == keys[4][k])
-    rows = {"node": list(range(6)), "component": [0, 0, 2, 3, 4, 5], "side": [0] * 6, "band": [shared] * 6, "n": [100] * 6, "signature": [s.astype(np.uint16).tobytes() for s in sig], "bands": keys, "items": [s.tolist() for s in sets]}
-    assert M._blockwise(pa.table(rows)).to_pylist() == [{"a": 1, "b": 4}]
-    assert M._blockwise(pa.table(rows | {"side": [0, 0, 0, 1, 1, 1]})).to_pylist() == [{"a": 1, "b": 4}]
-    assert M._blockwise(pa.table(rows | {"band": [shared + 1] * 6})).to_pylist() == []
-    assert M._blockwise(pa.table(rows | {"component": [0, 0, 2, 3, 0, 5]})).to_pylist() == []
+    place = {"key": [7] * 6, "kind": pa.array([0] * 6, pa.int32()), "i": pa.array([0] * 6, pa.int32()), "j": pa.array([0] * 6, pa.int32())}
+    rows = place | {"node": list(range(6)), "component": [0, 0, 2, 3, 4, 5], "side": [0] * 6, "band": [shared] * 6, "n": [100] * 6, "signature": [s.astype(np.uint16).tobytes() for s in sig], "bands": keys}
+    full = pa.table({"node": list(range(6)), "items": pa.array([s.tolist() for s in sets], pa.list_(pa.int64()))})
+
+    def links(changed):
+        met = M._met(pa.table(rows | changed))
+        return M._decided(met, full).to_pylist()
+
+    assert links({}) == [{"a": 1, "b": 4}]
+    assert links({"side": [0, 0, 0, 1, 1, 1]}) == [{"a": 1, "b": 4}]
+    assert links({"band": [shared + 1] * 6}) == []
+    assert links({"component": [0, 0, 2, 3, 0, 5]}) == []
+
+
+def test_texts_that_share_an_id_are_documents_of_their_own(spark):
+    rng = random.Random(8)
+    a, b = ([f"{x}{rng.randrange(10**6)}" for _ in range(100)] for x in "ab")
+    near = lambda w: " ".join(w[:50] + ["other"] + w[51:])
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (7, near(a)), (9, near(b)), (3, " ".join(b)), (5, " ".join(a)), (5, None), (None, near(a)), (11, "alone")]
+    got = M.op2_near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    key = lambda r: (r[0] is None, r[0] or 0, r[1], r[2] or 0)
+    want = brute(rows)
+    assert {r[2] for r in want if r[0] == 7} == {5} and {r[2] for r in want if r[0] == 9} == {3}
+    assert sorted((tuple(r) for r in got), key=key) == sorted(want, key=key)
+
+
+def test_a_long_text_of_distinct_words(spark):
+    words = [f"w{i}" for i in range(60_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:59_000])), (3, " ".join(words[:30_000])), (4, " ".join(words[30_000:]))]
+    got = M.op2_near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == sorted(brute(rows))
+
+
+def test_one_bucket_of_many_open_nodes_sends_each_set_about_once(spark, monkeypatch):
+    # Nodes that share a band but are not near: signatures alone are compared, no set is sent.
+    with np.errstate(over="ignore"):
+        common = M.signature(M.shingles(" ".join(f"c{i}" for i in range(50)).encode()))
+        sigs = []
+        rng = np.random.Generator(np.random.PCG64(4))
+        for _ in range(3000):
+            s = rng.integers(0, 1 << 32, M.PERMUTATIONS, dtype=np.uint64)
+            s[: M.ROWS] = common[: M.ROWS]
+            sigs.append((s.astype(np.uint16).tobytes(), M.bands(s).tolist()))
+    nodes = spark.createDataFrame([(i, 100, s, k) for i, (s, k) in enumerate(sigs)], "node long, n_shingles long, signature binary, bands array<long>")
+    asked = []
+    monkeypatch.setattr(M, "_sets", lambda ids, docs: asked.append(ids.count()) or ids.select("node", M.F.array().cast("array<long>").alias("items")))
+    rows, likely = M._stars(nodes, 85)
+    assert rows.where("c = 3000").count() == 3000 and likely.count() == 0
+    found = spark.createDataFrame([], "node long, component long")
+    assert M._rest(rows, nodes, found, None, 85).count() == 0 and asked == [0]
+
+
+def test_hubs_are_split_and_lose_no_pair(spark):
+    n = 3 * M.HUB
+    pairs = spark.createDataFrame([(0, i) for i in range(1, n)] + [(5, 6), (7, 0)], "a long, b long")
+    table = spark.range(n).select(M.F.col("id").alias("node"), (M.F.col("id") * 10).alias("x"))
+    got = M._to_both(pairs, table, "x")
+    assert got.select("part").distinct().count() == 3
+    assert sorted((r.a, r.b, r.x_a, r.x_b) for r in got.collect()) == sorted((a, b, 10 * a, 10 * b) for a, b in [(0, i) for i in range(1, n)] + [(5, 6), (7, 0)])
 
 
 def test_large_group_of_chained_edits(spark):
