@@ -5,16 +5,17 @@ repeating, and share the sum of all sizes by weight. A target stops at ``MAX_COP
 source's size; what is over goes to the others by weight until no target is above its bound.
 
 Inside a source every document expects the same number of copies, target / source size. The
-documents stand in a fixed order (size, a hash of the id, the id), the expected copies are
+documents stand in a fixed order (size, a hash of the id or, without one, of the text, the id), the expected copies are
 prefix-summed, one offset in [0, 1) that depends on the source alone is added, and a document is
 emitted once per integer that its step crosses. As neighbours in that order have like sizes, the
 words taken stay within about one document of the target.
 
 No source is gathered anywhere: a document's place is the sum of three counts, of the smaller sizes
 of its source, of the smaller hash buckets of its size, and of the rows before it in its bucket.
-The first two come from pre-aggregated tables, the third from a window over one bucket.
+The first two come from pre-aggregated tables, the third from a window over one bucket. Texts are split into words once:
+rows are written with their sizes, and both the tables of counts and the window read them back.
 
-Null ids sort first, rows that are equal throughout are separate rows, empty texts have size 0 and
+Null ids sort by hash and text, rows that are equal throughout are separate rows, empty texts have size 0 and
 may be taken (they add nothing), an empty table gives an empty result. A source whose texts are all
 empty has target 0 and takes nothing.
 """
@@ -24,7 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import count_words, text_of, unit_interval
+from ..functions.plan import spread
+from .common import count_words, text_of, unit_interval, written
 
 WEIGHTS = (1, 2, 3)
 MAX_COPIES = 3
@@ -65,18 +67,18 @@ def targets(sizes: DataFrame) -> DataFrame:
     )
 
 
-def _bucket(doc_id: Column) -> Column:
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, 3), 16, 10).cast("int")
+def _bucket(doc_id: Column, tie: Column) -> Column:
+    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), tie)), 1, 3), 16, 10).cast("int")
 
 
 def mixed(rows: DataFrame) -> DataFrame:
-    """``rows`` (with ``doc_id, source, size``) plus ``source_size, target, copies``.
+    """``rows`` (with ``doc_id, source, size, tie``) plus ``source_size, target, copies``.
 
     The rows are shuffled once: the key that numbers them is the key that joins the counts before them, with the null
     source written as a value of its own.
     """
     named = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))
-    rows = rows.drop("source_size", "target", "copies").withColumn("__bucket", _bucket(F.col("doc_id"))).withColumn("__source", named)
+    rows = rows.drop("source_size", "target", "copies").withColumn("__bucket", _bucket(F.col("doc_id"), F.col("tie"))).withColumn("__source", named)
     # One histogram, of which the others are sums: its exchange is reused, so the texts are read for it once.
     by_bucket = rows.groupBy("__source", "size", "__bucket").agg(F.count("*").alias("n"))
     by_size = by_bucket.groupBy("__source", "size").agg(F.sum("n").alias("n"))
@@ -93,7 +95,7 @@ def mixed(rows: DataFrame) -> DataFrame:
     at = at.join(by_size.select("__source", "size", smaller.alias("smaller")), ["__source", "size"])
     at = at.join(goal.drop("source"), "__source").withColumn("__before", F.col("in_size") + F.col("smaller")).drop("in_size", "smaller")
 
-    place = Window.partitionBy("__source", "size", "__bucket").orderBy("doc_id")
+    place = Window.partitionBy("__source", "size", "__bucket").orderBy("doc_id", "tie")
     placed = rows.withColumn("__row", F.row_number().over(place)).join(at, ["__source", "size", "__bucket"])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size").cast("double")).otherwise(F.lit(0.0))
     offset = unit_interval(F.col("source"), F.lit(SEED))
@@ -104,20 +106,23 @@ def mixed(rows: DataFrame) -> DataFrame:
 
 
 def sized(docs: DataFrame, text: str = "text") -> DataFrame:
-    return docs.withColumn("size", count_words(text_of(text)))
+    """``docs`` with ``size`` and, for rows without an id, ``tie``, a digest of the text."""
+    body = text_of(f"`{text}`")
+    return docs.withColumn("size", count_words(body)).withColumn("tie", F.when(F.col("doc_id").isNull(), F.md5(body)).otherwise(F.lit("")))
 
 
 def repeated(docs: DataFrame) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken, with the columns of ``docs``."""
     names = docs.columns
     clear = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]).alias("__doc"), "doc_id", "source", "text")
-    taken = mixed(sized(clear).drop("text")).where("copies > 0")
+    rows = written(sized(spread(clear)).drop("text"), "sizes")
+    taken = mixed(rows).where("copies > 0")
     taken = taken.select("__doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("__copy"))
     return taken.select(*[F.col(f"__doc.c{i}").alias(c) for i, c in enumerate(names)])
 
 
 def op9_mixing(docs: DataFrame) -> DataFrame:
-    rows = sized(docs.select("doc_id", "source", "text")).select("doc_id", "source", "size")
+    rows = written(sized(spread(docs.select("doc_id", "source", "text"))).select("doc_id", "source", "size", "tie"), "sizes")
     return mixed(rows).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
@@ -127,7 +132,8 @@ _OFFSET_SQL = (
 ORACLE = f"""
 WITH d AS (SELECT doc_id, source,
     len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''))::BIGINT AS size,
-    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 3))::INT AS bucket FROM documents),
+    CASE WHEN doc_id IS NULL THEN md5(coalesce(text, '')) ELSE '' END AS tie,
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))), 1, 3))::INT AS bucket FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 o AS (SELECT *, [1, 2, 3][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight FROM s),
 f AS (SELECT *, {MAX_COPIES} * source_size AS bound, sum(source_size) OVER () AS total,
@@ -140,7 +146,7 @@ t AS (SELECT p.source, p.source_size, CASE WHEN c.k IS NULL OR p.k < c.k THEN p.
     FROM p, c),
 r AS (SELECT d.doc_id, d.source, d.size, t.source_size, t.target,
     CASE WHEN t.source_size > 0 THEN t.target / t.source_size::DOUBLE ELSE 0.0 END AS rate, {_OFFSET_SQL.replace("source", "d.source")} AS u,
-    row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.bucket, d.doc_id) AS place
+    row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.bucket, d.doc_id NULLS FIRST, d.tie) AS place
     FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
     (least(floor(place * rate + u) - floor((place - 1) * rate + u), {MAX_COPIES}) * size)::BIGINT AS taken FROM r
