@@ -79,9 +79,12 @@ def _window_hash(words: str, i: Column) -> Column:
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the columns of ``MEASURES``."""
-    docs = docs.drop(*MEASURES)
+    body = text_of(f"`{text}`").alias("__text")
+    docs = docs.drop(*[c for c in MEASURES if c != text])
     n = F.size("__words")
-    d = docs.withColumn("__text", text_of(text)).withColumn("__words", words_of(F.col("__text")))
+    # Under names of their places, no column of docs can clash with one in here.
+    d = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)], body)
+    d = d.withColumn("__words", words_of(F.col("__text")))
     d = d.withColumn("__lines", F.filter(F.split("__text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     d = d.withColumn(
         "__hash",
@@ -107,7 +110,7 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
         lambda a, x: a + x,
     )
     d = d.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
+        *[F.col(f"c{i}") for i in range(len(docs.columns))],
         n.cast("long").alias("n_words"),
         _length_of(F.col("__text"), SPACE).alias("word_chars"),
         (F.length("__text") - F.length(F.regexp_replace("__text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
@@ -117,7 +120,7 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
         F.size(F.filter("__words", lambda w: F.lower(w).isin(*STOP_WORDS))).cast("long").alias("n_stop"),
         _length_of(F.col("__text"), "[^A-Z]+").alias("n_upper"),
     )
-    return d
+    return d.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)], *MEASURES)
 
 
 def judged(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
