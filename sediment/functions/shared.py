@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 SHARED_KEY = "spark.checkpoint.dir"
+_own: dict[str, str] = {}  # by application
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Read from the session. Only where the session names none, as in a local test, one is set."""
+    """Read from the session. Only where the session names none and runs in one process, as in a local test, one is set;
+    on a cluster a folder of one machine would lose rows, so there the setting is required."""
     found = spark.conf.get(SHARED_KEY, None) or spark.sparkContext.getConf().get(SHARED_KEY)
-    return (found or "/tmp/sediment-checkpoints").rstrip("/")
+    if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError(f"{SHARED_KEY} must name a folder that the driver and all executors share")
+        app = spark.sparkContext.applicationId
+        found = _own[app] = _own.get(app) or tempfile.mkdtemp(prefix="sediment-")
+    return found.rstrip("/")
