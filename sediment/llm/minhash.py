@@ -20,8 +20,9 @@ empty and linked with nothing). Two documents are linked if 100 * |A and B| >= p
 5. *Exact.* The full sets of the survivors decide.
 6. *The rest.* Buckets that still hold more than one component are compared further: nodes outside a bucket's largest
    component with each other and with that component, in blocks of about ``BLOCK`` nodes and ``ITEMS`` shingles by as
-   many. First only signatures meet, in memory: a pair once, in the first band its nodes share. Then the sets of
-   survivors alone are sent to their block and decide; a pair whose ends were joined there before is passed over.
+   many. First only signatures meet, and nodes without company leave. Then the sets of those that stay are sent to their
+   blocks, and steps 4 and 5 are done in memory, a pair once, in the first band its nodes share, and not at all once its
+   ends are in one component. Only links that join components are emitted.
    So no link that a bucket shows is lost to the stars, no group's pairs are compared as rows, and a group whose stars
    joined it sends its sets once.
 
@@ -209,63 +210,86 @@ def _pruned(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         yield batch.select(["a", "b"]).take(pa.array(stay))
 
 
-def _common(one: np.ndarray, two: np.ndarray) -> int:
-    """The size of the intersection of two sorted sets."""
-    if not len(one) or not len(two):
-        return 0
-    at = one.searchsorted(two)
-    at[at == len(one)] = 0
-    return int((one[at] == two).sum())
-
-
 def _met(rows: pa.Table, percent: int = PERCENT) -> pa.Table:
-    """Pairs across components in one block of a bucket that no batch of minima prunes, each in the first band that its
-    nodes share."""
-    node, comp, side, band, n = (rows.column(c).to_numpy() for c in ("node", "component", "side", "band", "n"))
+    """The rows of a block's nodes that have company there: a node of another component that no batch of minima prunes, if
+    this is the first band that both share. At most as many rows as came, whatever the number of such pairs."""
+    comp, side, band, n = (rows.column(c).to_numpy() for c in ("component", "side", "band", "n"))
     sig = _matrix(rows.column("signature").combine_chunks())
-    keys = np.array(rows.column("bands").to_pylist(), np.int64).reshape(len(node), layout(percent)[0])
+    keys = np.array(rows.column("bands").to_pylist(), np.int64).reshape(len(n), layout(percent)[0])
     one = bool((side == side[0]).all())
     left = np.flatnonzero(side == side[0])
     right = left if one else np.flatnonzero(side != side[0])
-    out_a, out_b = [], []
+    stays = np.zeros(len(side), bool)
     for i in left:
         to = right[right > i] if one else right
-        to = to[(comp[to] != comp[i]) & (100 * np.minimum(n[to], n[i]) >= percent * np.maximum(n[to], n[i]))]
+        # Pairs of nodes that both stay need no look.
+        to = to[(comp[to] != comp[i]) & ~(stays[to] & stays[i]) & (100 * np.minimum(n[to], n[i]) >= percent * np.maximum(n[to], n[i]))]
         to = to[~(keys[to, : band[i]] == keys[i, : band[i]]).any(axis=1)]
         if len(to):
             to = to[_likely(np.broadcast_to(sig[i], (len(to), PERMUTATIONS)), sig[to], percent)]
-            out_a.append(np.full(len(to), i)), out_b.append(to)
-    a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (out_a, out_b))
-    same = {c: pa.array(np.repeat(rows.column(c).to_numpy()[:1], len(a)), t) for c, t in (("key", pa.int64()), ("kind", pa.int32()), ("i", pa.int32()), ("j", pa.int32()))}
-    return pa.table(same | {"a": node[a], "b": node[b], "ca": comp[a], "cb": comp[b]})
-
+            stays[to] = True
+            stays[i] |= len(to) > 0
+    return rows.filter(pa.array(stays))
 
-MET = "key long, kind int, i int, j int, a long, b long, ca long, cb long"
 
+class _Forest:
+    """Union-find over the components that meet in one block."""
 
-def _decided(pairs: pa.Table, sets: pa.Table, percent: int = PERCENT) -> pa.Table:
-    """Of the survivors of a block those whose full sets reach the threshold, as many as join components."""
-    items = {k: np.asarray(x.values).view(np.uint64) for k, x in zip(sets.column("node").to_pylist(), sets.column("items").combine_chunks())}
-    a, b = pairs.column("a").to_numpy(), pairs.column("b").to_numpy()
-    own = np.unique(np.concatenate([pairs.column("ca").to_numpy(), pairs.column("cb").to_numpy()]), return_inverse=True)[1]
-    up = list(range(int(own.max()) + 1)) if len(own) else []
+    def __init__(self, labels: np.ndarray):
+        self.own = np.unique(labels, return_inverse=True)[1]
+        self.up = list(range(int(self.own.max()) + 1)) if len(labels) else []
 
-    def root(x: int) -> int:
-        while up[x] != x:
-            up[x] = x = up[up[x]]
+    def root(self, x: int) -> int:
+        while self.up[x] != x:
+            self.up[x] = x = self.up[self.up[x]]
         return x
 
-    out = []
-    for k in np.lexsort((b, a)):
-        x, y = root(int(own[k])), root(int(own[len(a) + k]))
-        if x == y:
-            continue
-        one, two = items[int(a[k])], items[int(b[k])]
-        both = _common(one, two)
-        if 100 * both >= percent * (len(one) + len(two) - both):
-            up[max(x, y)] = min(x, y)
-            out.append(k)
-    return pa.table({"a": pa.array(a[out], pa.int64()), "b": pa.array(b[out], pa.int64())})
+    def of(self, rows: np.ndarray) -> np.ndarray:
+        flat = np.array([self.root(x) for x in range(len(self.up))])
+        return flat[self.own[rows]]
+
+    def join(self, i: int, j: int) -> bool:
+        a, b = self.root(int(self.own[i])), self.root(int(self.own[j]))
+        self.up[max(a, b)] = min(a, b)
+        return a != b
+
+
+def _common(one: np.ndarray, many: list[np.ndarray]) -> np.ndarray:
+    """The sizes of the intersections of one sorted set with many."""
+    flat = np.concatenate(many)
+    at = one.searchsorted(flat)
+    at[at == len(one)] = 0
+    return np.add.reduceat(one[at] == flat, np.cumsum([0, *map(len, many[:-1])]))
+
+
+def _blockwise(rows: pa.Table, percent: int = PERCENT) -> pa.Table:
+    """Links across components in one block of a bucket, as many as join components.
+
+    A pair is looked at in the first band that its nodes share. Signatures prune it, full sets decide; what is
+    joined by then needs no look.
+    """
+    node, comp, side, band, n = (rows.column(c).to_numpy() for c in ("node", "component", "side", "band", "n"))
+    sig = _matrix(rows.column("signature").combine_chunks())
+    keys = np.array(rows.column("bands").to_pylist(), np.int64).reshape(len(node), layout(percent)[0])
+    items = [np.asarray(x.values).view(np.uint64) for x in rows.column("items").combine_chunks()]
+    one = bool((side == side[0]).all()) if len(side) else True
+    left = np.flatnonzero(side == side[0]) if len(side) else side
+    right = left if one else np.flatnonzero(side != side[0])
+    forest = _Forest(comp)
+    out_a, out_b = [], []
+    for i in left:
+        to = right[right > i] if one else right
+        to = to[100 * np.minimum(n[to], n[i]) >= percent * np.maximum(n[to], n[i])]
+        to = to[~(keys[to, : band[i]] == keys[i, : band[i]]).any(axis=1)]
+        to = to[forest.of(to) != forest.root(int(forest.own[i]))]
+        if len(to):
+            to = to[_likely(np.broadcast_to(sig[i], (len(to), PERMUTATIONS)), sig[to], percent)]
+        if len(to):
+            both = _common(items[i], [items[j] for j in to])
+            for j in to[100 * both >= percent * (n[i] + n[to] - both)]:
+                if forest.join(i, j):
+                    out_a.append(node[i]), out_b.append(node[j])
+    return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
 
 def _close(a: str, b: str, percent: int):
@@ -358,11 +382,9 @@ def _rest(rows: DataFrame, nodes: DataFrame, found: DataFrame, docs: DataFrame,
     rows = rows.select("key", "node", "band", "component", F.explode(meets).alias("m")).select("key", "node", "band", "component", "m.*")
     rows = rows.join(nodes.select("node", "signature", "bands", F.col("n_shingles").alias("n")), "node")
     block = ["key", "kind", "i", "j"]
-    pairs = written(rows.groupBy(*block).applyInArrow(lambda t: _met(t, percent), MET), "met")
-    needed = written(pairs.select(*block, F.col("a").alias("node")).union(pairs.select(*block, "b")).distinct(), "needed")
-    sets = _sets(needed.select("node"), docs)
-    asked, given = pairs.groupBy(*block), needed.join(sets, "node").groupBy(*block)
-    links = asked.cogroup(given).applyInArrow(lambda p, s: _decided(p, s, percent), "a long, b long")
+    company = written(rows.groupBy(*block).applyInArrow(lambda t: _met(t, percent), rows.schema), "company")
+    sets = _sets(company.select("node"), docs)
+    links = company.join(sets, "node").groupBy(*block).applyInArrow(lambda t: _blockwise(t, percent), "a long, b long")
     return written(links.distinct(), "links")
 
 
