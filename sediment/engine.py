@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,8 +24,10 @@ class Engine:
     """One writer, many readers. Bulk writes take a frame; single ones are buffered and appended to the log as a
     Parquet file when the buffer is full, on flush and on close, so opening a folder again recovers what was logged.
 
-    ``flush`` turns the log into a run and then drops it; ``compact`` merges runs. Scans are not metered, as
-    opposed to reads, writes and iterators.
+    ``flush`` turns the log into a run and then drops it; ``compact`` merges runs. Both come by themselves: once the rows
+    that ``put`` and ``delete`` wrote since the last flush fill all in-memory tables (``memtable_count`` of
+    ``memtable_size`` bytes) they are flushed, and full levels are merged. Reads of a key, a prefix or a range open only the
+    runs that the manifest's bounds and filters allow. Scans are not metered, as opposed to reads, writes and iterators.
     """
 
     def __init__(self, spark: SparkSession, base: str, config: KVConfig | None = None, clock=time.time):
@@ -34,8 +37,9 @@ class Engine:
         self.buffer: list[tuple] = []
         self._seq = 0
         newest = self.log().agg(F.max("seq").alias("m"), F.lit(1)).first().m
-        top = self.runs().agg(F.max("seq").alias("m")).first().m
+        top = self.listed().agg(F.max("max_seq").alias("m")).first().m
         self._seq = max(newest or 0, top or 0)
+        self._held = self.log().agg(F.sum(R.row_bytes())).first()[0] or 0
 
     # Storage.
 
@@ -59,9 +63,20 @@ class Engine:
             return R.open_runs(self.spark, path)
         return self.spark.createDataFrame([], "key string, op string, value string, seq long, level int, run_id string")
 
-    def mutations(self) -> DataFrame:
-        """Everything that reads look at: buffer, log and runs."""
-        both = self.log().select("key", "op", "value", "seq").unionByName(self.runs().select("key", "op", "value", "seq"))
+    def listed(self) -> DataFrame:
+        """The runs' manifest."""
+        path = f"{self.base}/runs"
+        if self._exists(R.manifest_path(path)):
+            return R.listed(self.spark, path)
+        return self.spark.createDataFrame([], f"{R.MANIFEST}, level int, run_id string")
+
+    def mutations(self, may: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+        """Everything that reads look at: buffer, log and runs; of those with ``may`` only the ones that it leaves of the
+        manifest."""
+        runs = self.runs()
+        if may is not None:
+            runs = runs.where(F.col("run_id").isin([r.run_id for r in may(self.listed()).select("run_id").collect()]))
+        both = self.log().select("key", "op", "value", "seq").unionByName(runs.select("key", "op", "value", "seq"))
         if self.buffer:
             both = both.unionByName(self.spark.createDataFrame(self.buffer, MUTATION).select("key", "op", "value", "seq"))
         return both
@@ -78,7 +93,11 @@ class Engine:
         self._meter(user)
         self._seq += 1
         self.buffer.append((self._seq, int(self.clock()), user, op, key, value))
-        if len(self.buffer) >= self.config.wal_buffer_size:
+        self._held += len(key.encode()) + len(value.encode())
+        if self._held >= self.config.memtable_count * self.config.memtable_size:
+            self.flush()
+            self.compact()
+        elif len(self.buffer) >= self.config.wal_buffer_size:
             self.sync()
 
     def put(self, user: str, key: str, value: str) -> None:
@@ -104,12 +123,19 @@ class Engine:
         self.sync()
         if self.log().isEmpty():
             return None
-        run = R.flush(self.log(), f"{self.base}/runs", 0, f"{self._seq:020d}")
+        run = R.flush(self.log(), f"{self.base}/runs", 0, f"{self._seq:020d}", config=self.config)
         self._delete(f"{self.base}/wal")
+        self._held = 0
         return run
 
-    def compact(self) -> int:
-        return compaction.compact(self.spark, f"{self.base}/runs", self.config.compaction_threshold, self.config.lsm_levels) if self._exists(f"{self.base}/runs") else 0
+    def compact(self, policy: str = compaction.NEWEST) -> int:
+        if not self._exists(f"{self.base}/runs"):
+            return 0
+        return compaction.compact(self.spark, f"{self.base}/runs", self.config.compaction_threshold, self.config.lsm_levels, policy, self.config)
+
+    def validate(self) -> DataFrame:
+        """``level, run_id, valid``: whether each run's rows still give the Merkle root that was stored with it."""
+        return R.invalid(self.listed(), self.runs())
 
     def close(self) -> None:
         self.sync()
@@ -118,28 +144,31 @@ class Engine:
 
     def get(self, user: str, key: str) -> str | None:
         self._meter(user)
-        row = V.get(self.mutations(), key).first()
+        row = V.get(self.mutations(lambda m: R.may_hold_key(m, key)), key).first()
         return row.value if row else None
 
+    def _with_prefix(self, prefix: str) -> DataFrame:
+        return self.mutations((lambda m: R.may_hold_prefix(m, prefix, self.config)) if prefix else None)
+
     def multi_get(self, keys: DataFrame) -> DataFrame:
         return V.multi_get(self.mutations(), keys)
 
     def prefix_scan(self, prefix: str, page: int, size: int) -> DataFrame:
-        return V.page(V.prefix(self.mutations(), prefix), page, size)
+        return V.page(V.prefix(self._with_prefix(prefix), prefix), page, size)
 
     def range_scan(self, low: str, high: str, page: int, size: int) -> DataFrame:
-        return V.page(V.key_range(self.mutations(), low, high), page, size)
+        return V.page(V.key_range(self.mutations(lambda m: R.may_hold(m, low, high)), low, high), page, size)
 
     def prefix_iterate(self, user: str, prefix: str) -> Cursor:
         self._meter(user)
-        return Cursor(V.prefix(self.mutations(), prefix))
+        return Cursor(V.prefix(self._with_prefix(prefix), prefix))
 
     def range_iterate(self, user: str, low: str, high: str) -> Cursor:
         self._meter(user)
-        return Cursor(V.key_range(self.mutations(), low, high))
+        return Cursor(V.key_range(self.mutations(lambda m: R.may_hold(m, low, high)), low, high))
 
     def stats(self) -> DataFrame:
-        return R.stats(self.runs())
+        return R.stats_of(self.listed())
 
     def view(self, cached: bool = False) -> DataFrame:
         """Live ``key, value`` rows, for any SQL; ``cached`` keeps them in storage memory, which Spark evicts by use."""

@@ -23,12 +23,15 @@ def seeded_hex(x: Column, i: int) -> Column:
     return F.substring(F.md5(F.concat(x.cast("string").cast("binary"), F.unhex(F.lit(seed_hex(i))))), 1, 16)
 
 
-def hex_modulo(digits: Column, m: int) -> Column:
-    """An unsigned 64-bit number in hex modulo m < 2^31, in 64-bit arithmetic."""
+def hex_modulo(digits: Column, m: int | Column) -> Column:
+    """An unsigned 64-bit number in hex modulo m < 2^31, in 64-bit arithmetic; m may be a column."""
+    if isinstance(m, int) and not 0 < m < 1 << 31:
+        raise ValueError(f"a modulus of {m} is not below 2^31")
+    m = F.lit(m).cast("long") if isinstance(m, int) else m
     high = F.conv(F.substring(digits, 1, 8), 16, 10).cast("long")
     low = F.conv(F.substring(digits, 9, 8), 16, 10).cast("long")
-    return ((high % m) * ((1 << 32) % m) + low % m) % m
+    return ((high % m) * (F.lit(1 << 32) % m) + low % m) % m
 
 
-def cell(x: Column, i: int, m: int) -> Column:
+def cell(x: Column, i: int, m: int | Column) -> Column:
     return hex_modulo(seeded_hex(x, i), m)

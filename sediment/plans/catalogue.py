@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import bloom, cms, hll, serial, simhash
 from ..functions.hashing import seed_hex
 from ..functions.plan import spread
-from ..functions.shared import shared_dir
+from ..functions.shared import shared_dir, written
 from ..operators import cache, compact, integrity, limiter, runs, view
 from ..schema import KVConfig
 from ..sources import mutations as M
@@ -140,6 +140,22 @@ def kv_view_sql(spark, sf_dir):
 
 # Compaction and runs.
 
+_STORES: dict[tuple[str, str], str] = {}
+
+
+def _stored(spark, sf_dir) -> str:
+    """The runs of events in the shared folder, with ids that are no numbers; written once a session."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _STORES:
+        base = f"{shared_dir(spark)}/runs-{uuid.uuid4().hex}"
+        log = M.event_runs(spark, sf_dir)
+        runs.write_runs(log.withColumn("run_id", F.concat(F.lit("run-"), F.hex(F.col("run_id").cast("long") * 37))), base, CONFIG)
+        _STORES[at] = base
+    return _STORES[at]
+
+
+_STORED = f"{_RUNS.replace('l AS', 'l0 AS')}, l AS (SELECT k, v, seq, op, 'run-' || printf('%X', run_id * 37) AS run_id, level FROM l0)"
+
 
 @query(f"WITH {_RUNS}, {_LATEST} SELECT key, op, value, seq FROM m")
 def kv_compact_newest(spark, sf_dir):
@@ -154,6 +170,16 @@ def kv_compact_tombstone_wins(spark, sf_dir):
     return compact.merge(M.event_runs(spark, sf_dir), compact.TOMBSTONE_WINS)
 
 
+@query(
+    f"""WITH {_STORED}, n AS (SELECT k, run_id, arg_max({{'op': op, 'v': v, 'seq': seq}}, seq) AS x FROM l GROUP BY k, run_id),
+    r AS (SELECT k, x, row_number() OVER (PARTITION BY k ORDER BY (x.op = 'DELETE') DESC, run_id) AS rn FROM n)
+    SELECT k AS key, x.op AS op, x.v AS value, x.seq AS seq FROM r WHERE rn = 1"""
+)
+def kv_compact_tombstone_stored(spark, sf_dir):
+    """The same policy over runs as they are stored."""
+    return compact.merge(runs.open_runs(spark, _stored(spark, sf_dir)), compact.TOMBSTONE_WINS)
+
+
 @query(f"WITH {_RUNS}, {_LATEST} SELECT key, op, value, seq FROM m WHERE op <> 'DELETE'")
 def kv_compact_purge(spark, sf_dir):
     return compact.merge(M.event_runs(spark, sf_dir), purge=True)
@@ -187,7 +213,10 @@ def run_sparse_summary(spark, sf_dir):
 _PROBES = "p AS (SELECT DISTINCT event_type || ':' || lpad((user_id * 7 % 200)::VARCHAR, 6, '0') AS probe FROM events)"
 
 
-@query(f"WITH {_SUMMARY}, {_PROBES} SELECT r.run_id, probe, (SELECT max(key) FROM s WHERE s.run_id = r.run_id AND s.key <= probe) AS summary_key FROM p, (SELECT DISTINCT run_id FROM s) r")
+@query(
+    f"""WITH {_SUMMARY}, {_PROBES} SELECT s.run_id, probe, max(s.key) FILTER (s.key <= probe) AS summary_key FROM s, p
+    GROUP BY s.run_id, probe HAVING probe BETWEEN min(s.key) AND max(s.key)"""
+)
 def run_summary_seek(spark, sf_dir):
     e = M.read(spark, sf_dir, "events")
     probes = e.select(F.concat("event_type", F.lit(":"), F.lpad((F.col("user_id") * 7 % 200).cast("string"), 6, "0")).alias("key"))
@@ -199,9 +228,58 @@ def run_stats(spark, sf_dir):
     return runs.stats(M.event_runs(spark, sf_dir))
 
 
-@query(f"WITH {_RUNS}, f AS (SELECT run_id, level, min(k) AS lo, max(k) AS hi FROM l GROUP BY run_id, level) SELECT level, run_id FROM f WHERE lo <= 'purchase:000050' AND hi >= 'purchase:000010'")
+@query(f"WITH {_STORED}, f AS (SELECT run_id, level, min(k) AS lo, max(k) AS hi FROM l GROUP BY run_id, level) SELECT level, run_id FROM f WHERE lo <= 'purchase:000050' AND hi >= 'purchase:000010'")
 def run_pruning(spark, sf_dir):
-    return runs.may_hold(runs.manifest(M.event_runs(spark, sf_dir)), "purchase:000010", "purchase:000050").select("level", "run_id")
+    """Which runs a range needs, by the stored manifest: no run is read."""
+    return runs.may_hold(runs.listed(spark, _stored(spark, sf_dir)), "purchase:000010", "purchase:000050").select("level", "run_id")
+
+
+_NEWEST_RUNS = "n AS (SELECT level, run_id, k, arg_max({'v': v, 'op': op}, seq) AS x, max(seq) AS seq FROM l GROUP BY level, run_id, k)"
+
+
+@query(
+    f"""WITH {_STORED}, {_NEWEST_RUNS} SELECT level, run_id, min(k) AS min_key, max(k) AS max_key, count(*) AS n, sum((x.op = 'DELETE')::BIGINT)::BIGINT AS n_deletes,
+    sum(strlen(k) + strlen(x.v))::BIGINT AS bytes, min(seq) AS min_seq, max(seq) AS max_seq FROM n GROUP BY level, run_id"""
+)
+def run_stored_manifest(spark, sf_dir):
+    """The manifest as it was written with the runs."""
+    return runs.listed(spark, _stored(spark, sf_dir)).select("level", "run_id", "min_key", "max_key", "n", "n_deletes", "bytes", "min_seq", "max_seq")
+
+
+_FALSE_RATE = CONFIG.bloom_filter_false_positive_rate
+_K = bloom.hashes_for(1_000_000, bloom.bits_for(1_000_000, _FALSE_RATE))
+_KSEEDS = ", ".join(f"({i}, '{seed_hex(i)}')" for i in range(_K))
+
+
+def _sized(n: str) -> str:
+    """Bits of a filter for so many keys."""
+    return f"greatest(ceil({n} * abs(ln({_FALSE_RATE})) / pow(ln(2), 2)), 1)::UBIGINT"
+
+
+_PREFIX = "purchase:00014"
+
+
+@query(
+    f"""WITH {_STORED}, q(i, seed) AS (VALUES {_KSEEDS}), g AS (SELECT DISTINCT level, run_id, substr(k, 1, i) AS key FROM l, range(1, 11) r(i)),
+    z AS (SELECT level, run_id, {_sized("count(*)")} AS m FROM g GROUP BY level, run_id),
+    b AS (SELECT DISTINCT level, run_id, ('0x' || substr(md5(encode(key) || unhex(seed)), 1, 16))::UBIGINT % m AS bit FROM g JOIN z USING (level, run_id), q),
+    o AS (SELECT level, run_id, min(k) AS lo, max(k) AS hi FROM l GROUP BY level, run_id),
+    h AS (SELECT level, run_id, ('0x' || substr(md5(encode(substr('{_PREFIX}', 1, 10)) || unhex(seed)), 1, 16))::UBIGINT % m AS bit FROM z, q)
+    SELECT level, run_id FROM o WHERE hi >= '{_PREFIX}' AND (lo <= '{_PREFIX}' OR starts_with(lo, '{_PREFIX}'))
+    AND (level, run_id) NOT IN (SELECT (level, run_id) FROM h WHERE (level, run_id, bit) NOT IN (SELECT (level, run_id, bit) FROM b))"""
+)
+def run_gate_prefix(spark, sf_dir):
+    """Which runs a prefix needs, by the stored bounds and prefix filters."""
+    return runs.may_hold_prefix(runs.listed(spark, _stored(spark, sf_dir)), _PREFIX, CONFIG).select("level", "run_id")
+
+
+@query(f"WITH {_STORED} SELECT DISTINCT level, run_id, run_id <> 'run-25' AS valid FROM l")
+def run_validate(spark, sf_dir):
+    """Stored roots against the rows, one of which is not what was written."""
+    base = _stored(spark, sf_dir)
+    rows = runs.open_runs(spark, base)
+    spoilt = (F.col("run_id") == "run-25") & F.col("key").endswith("000007")
+    return runs.invalid(runs.listed(spark, base), rows.withColumn("value", F.when(spoilt, F.concat("value", F.lit("?"))).otherwise(F.col("value"))))
 
 
 _FOLD = """, o AS (SELECT u, seq, {cols}, row_number() OVER (PARTITION BY u ORDER BY seq) AS i FROM l)"""
@@ -256,7 +334,7 @@ def wal_replay(spark, sf_dir):
 
 @query(
     f"""WITH {_BY_USER}, b AS (SELECT u, seq, 29 + strlen(k) + strlen(v) AS bytes FROM l)
-    SELECT u AS "user", seq, bytes::BIGINT AS bytes, (coalesce(sum(bytes) OVER (PARTITION BY u ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 1000)::BIGINT AS segment FROM b"""
+    SELECT u AS "user", seq, bytes::BIGINT AS bytes, (coalesce(sum(bytes) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 1000)::BIGINT AS segment FROM b"""
 )
 def wal_segments(spark, sf_dir):
     return wal.segments(M.events_by_user(spark, sf_dir), CONFIG.wal_segment_size)
@@ -340,7 +418,7 @@ _BK = bloom.hashes_for(_NATIONS, _BM)
 _BSEEDS = ", ".join(f"({i}, '{seed_hex(i)}')" for i in range(_BK))
 
 
-def _hit(x: str, m: int) -> str:
+def _hit(x: str, m: int | str) -> str:
     return f"(('0x' || substr(md5(encode({x}) || unhex(seed)), 1, 16))::UBIGINT % {m})"
 
 
@@ -374,20 +452,21 @@ def bloom_false_positive_rate(spark, sf_dir):
     return absent.agg(F.count("*").alias("n_absent"), F.sum(F.col("present").cast("long")).alias("n_false"))
 
 
-# Runs hold several hundred keys each; a filter a run decides which of them a point read must open.
-_GM, _GK = bloom.bits_for(1000, 0.01), bloom.hashes_for(1000, bloom.bits_for(1000, 0.01))
-_GSEEDS = ", ".join(f"({i}, '{seed_hex(i)}')" for i in range(_GK))
-
-
+# A filter a run decides which of them a point read must open.
 @query(
-    f"""WITH {_RUNS}, q(i, seed) AS (VALUES {_GSEEDS}), b AS (SELECT DISTINCT run_id, {_hit("k", _GM)} AS bit FROM l, q),
-    p AS (SELECT DISTINCT event_type || ':' || lpad((user_id * 7 % 500)::VARCHAR, 6, '0') AS key FROM events), h AS (SELECT DISTINCT key, {_hit("key", _GM)} AS bit FROM p, q),
-    n AS (SELECT key, count(*) AS need FROM h GROUP BY key) SELECT run_id, key FROM h JOIN b USING (bit) JOIN n USING (key) GROUP BY run_id, key, need HAVING count(*) = need"""
+    f"""WITH {_RUNS}, q(i, seed) AS (VALUES {_KSEEDS}), o AS (SELECT run_id, min(k) AS lo, max(k) AS hi, {_sized("count(DISTINCT k)")} AS m FROM l GROUP BY run_id),
+    b AS (SELECT DISTINCT run_id, ('0x' || substr(md5(encode(k) || unhex(seed)), 1, 16))::UBIGINT % m AS bit FROM l JOIN o USING (run_id), q),
+    p AS (SELECT DISTINCT event_type || ':' || lpad((user_id * 7 % 500)::VARCHAR, 6, '0') AS key FROM events),
+    h AS (SELECT DISTINCT run_id, key, ('0x' || substr(md5(encode(key) || unhex(seed)), 1, 16))::UBIGINT % m AS bit FROM p JOIN o ON key BETWEEN lo AND hi, q),
+    n AS (SELECT run_id, key, count(*) AS need FROM h GROUP BY run_id, key)
+    SELECT run_id, key FROM h JOIN b USING (run_id, bit) JOIN n USING (run_id, key) GROUP BY run_id, key, need HAVING count(*) = need"""
 )
 def run_bloom_gate(spark, sf_dir):
     e = M.read(spark, sf_dir, "events")
     probes = e.select(F.concat("event_type", F.lit(":"), F.lpad((F.col("user_id") * 7 % 500).cast("string"), 6, "0")).alias("key"))
-    return bloom.gate(M.event_runs(spark, sf_dir), "run_id", probes, _GM, _GK)
+    r = M.event_runs(spark, sf_dir)
+    bounds = r.groupBy("run_id").agg(F.min("key").alias("min_key"), F.max("key").alias("max_key"))
+    return bloom.gate(bloom.packed(r, _FALSE_RATE, runs.STORED_BITS, "run_id").join(bounds, "run_id"), "run_id", probes, _K)
 
 
 _PREFIXES = "g AS (SELECT DISTINCT substr(p_name, 1, i) AS key FROM part, range(1, 11) r(i) WHERE i <= length(p_name))"
@@ -400,23 +479,19 @@ def prefix_bloom_fanout(spark, sf_dir):
     return p.groupBy(F.length("key").alias("size")).agg(F.count("*").alias("n"))
 
 
-_XM = bloom.bits_for(100, 0.01)
-_XK = bloom.hashes_for(100, _XM)
-_XSEEDS = ", ".join(f"({i}, '{seed_hex(i)}')" for i in range(_XK))
-
-
 @query(
-    f"""WITH {_PREFIXES}, q(i, seed) AS (VALUES {_XSEEDS}), b AS (SELECT DISTINCT {_hit("key", _XM)} AS bit FROM g, q),
+    f"""WITH {_PREFIXES}, q(i, seed) AS (VALUES {_KSEEDS}), z AS (SELECT {_sized("count(*)")} AS m FROM g), b AS (SELECT DISTINCT {_hit("key", "(SELECT m FROM z)")} AS bit FROM g, q),
     p AS (SELECT DISTINCT n_name AS key FROM nation UNION SELECT substr(p_name, 2) FROM part UNION SELECT p_name FROM part UNION SELECT '')
-    SELECT key, CASE WHEN key = '' THEN TRUE ELSE bool_and({_hit("substr(key, 1, 10)", _XM)} IN (SELECT bit FROM b)) END AS present FROM p, q GROUP BY key"""
+    SELECT key, CASE WHEN key = '' THEN TRUE ELSE bool_and({_hit("substr(key, 1, 10)", "(SELECT m FROM z)")} IN (SELECT bit FROM b)) END AS present FROM p, q GROUP BY key"""
 )
 def prefix_bloom_contains(spark, sf_dir):
     parts, nation = M.read(spark, sf_dir, "part"), M.read(spark, sf_dir, "nation")
-    bits = bloom.build(bloom.prefixes(parts.select(F.col("p_name").alias("key")).distinct(), 1, 10), _XM, _XK)
+    held = bloom.prefixes(parts.select(F.col("p_name").alias("key")).distinct(), 1, 10)
+    m = bloom.bits_for(held.count(), _FALSE_RATE)
     probes = nation.select(F.col("n_name").alias("key"))
     for c in (F.expr("substr(p_name, 2)"), F.col("p_name"), F.lit("")):
         probes = probes.unionByName(parts.select(c.alias("key")))
-    return bloom.check_prefixes(bits, probes, _XM, _XK, 1, 10)
+    return bloom.check_prefixes(bloom.build(held, m, _K), probes, m, _K, 1, 10)
 
 
 _SIM = """k AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS t FROM documents),
@@ -452,23 +527,46 @@ def near_duplicates(spark, sf_dir):
     return simhash.links(_hashed(spark, sf_dir), "doc_id")
 
 
-@query(None)
+@query("SELECT count(DISTINCT l_partkey) AS exact, TRUE AS approx_near, TRUE AS sketch_near FROM lineitem")
 def approx_distinct_native(spark, sf_dir):
-    """The built-in sketch beside the exact registers."""
-    return M.read(spark, sf_dir, "lineitem").agg(F.approx_count_distinct("l_partkey", 0.02).alias("approx"), F.hll_sketch_estimate(F.hll_sketch_agg("l_partkey")).alias("sketch"))
+    """The built-in sketches beside the exact number, each within 10 percent."""
+    n = M.read(spark, sf_dir, "lineitem").agg(
+        F.countDistinct("l_partkey").alias("exact"), F.approx_count_distinct("l_partkey", 0.02).alias("approx"), F.hll_sketch_estimate(F.hll_sketch_agg("l_partkey")).alias("sketch")
+    )
+    near = lambda c: (F.abs(F.col(c) - F.col("exact")) <= 0.1 * F.col("exact")).alias(f"{c}_near")
+    return n.select("exact", near("approx"), near("sketch"))
 
 
-@query(None)
+# A serialized sketch of that kind, big-endian: version i32, all items i64, depth i32, width i32, depth hash seeds i64, cells i64.
+@query(f"WITH {_BY_TYPE} SELECT count(*) AS n, count(*) AS first_row, ceil(2 / {_EPS})::BIGINT AS width FROM l")
 def cms_native(spark, sf_dir):
-    return M.events_by_type(spark, sf_dir).agg(F.count_min_sketch("key", F.lit(_EPS), F.lit(1 - _DELTA), F.lit(1)).alias("sketch"))
+    """The built-in Count-Min sketch: its number of items, the sum of its first row, and its width."""
+    one = M.events_by_type(spark, sf_dir).agg(F.count_min_sketch("key", F.lit(_EPS), F.lit(1 - _DELTA), F.lit(1)).alias("b"))
+    number = lambda at, size: f"CAST(conv(hex(substring(b, {at}, {size})), 16, -10) AS BIGINT)"
+    head = one.selectExpr("b", f"{number(5, 8)} AS n", f"{number(13, 4)} AS depth", f"{number(17, 4)} AS width")
+    cell = number("CAST(21 + 8 * depth + 8 * i AS INT)", "8")
+    row = f"aggregate(transform(sequence(0, CAST(width AS INT) - 1), i -> {cell}), 0L, (a, x) -> a + x)"
+    return head.selectExpr("n", f"{row} AS first_row", "width")
 
 
 # Integrity.
 
 
-@query("SELECT row_number() OVER (ORDER BY n_name) - 1 AS pos, sha256(n_name) AS hash FROM nation")
+_LINE_KEY = "lpad(l_orderkey::VARCHAR, 12, '0') || ':' || lpad(l_linenumber::VARCHAR, 3, '0') || ':' || lpad(l_partkey::VARCHAR, 12, '0') || ':' || lpad(l_suppkey::VARCHAR, 12, '0')"
+_LINES = f"i AS (SELECT {_LINE_KEY} AS k, max(l_orderkey * 1000 + l_linenumber)::VARCHAR AS v FROM lineitem GROUP BY 1)"
+_LINE_LEAF = "SELECT 0 AS run, row_number() OVER (ORDER BY k) - 1 AS pos, sha256(v) AS hash FROM i"
+
+
+def _lines(spark, sf_dir):
+    """A run of as many keys as lineitem has."""
+    parts = [F.lpad(F.col(c).cast("string"), n, "0") for c, n in (("l_orderkey", 12), ("l_linenumber", 3), ("l_partkey", 12), ("l_suppkey", 12))]
+    rows = M.read(spark, sf_dir, "lineitem").groupBy(F.concat_ws(":", *parts).alias("key"))
+    return rows.agg(F.max(F.col("l_orderkey") * 1000 + F.col("l_linenumber")).cast("string").alias("value"))
+
+
+@query(f"WITH {_LINES}, t AS ({_LINE_LEAF}) SELECT pos, hash FROM t")
 def merkle_leaves(spark, sf_dir):
-    return integrity.leaves(M.read(spark, sf_dir, "nation").select(F.col("n_name").alias("key"), F.col("n_name").alias("value")))
+    return integrity.leaves(_lines(spark, sf_dir))
 
 
 def _tree_sql(leaf: str, depth: int) -> str:
@@ -484,12 +582,17 @@ def _tree_nodes(depth: int) -> str:
     return " UNION ALL ".join(f"SELECT run, {i} AS level, pos, hash FROM t{i}" for i in range(depth + 1))
 
 
-_NATION_LEAF = "SELECT 0 AS run, row_number() OVER (ORDER BY n_name) - 1 AS pos, sha256(n_name) AS hash FROM nation"
+_DEPTH = 20  # enough for a million leaves; levels above a root are empty
 
 
-@query(f"WITH {_tree_sql(_NATION_LEAF, 5)} SELECT 25::BIGINT AS n_leaves, hash AS root FROM t5")
+@query(f"WITH {_LINES}, {_tree_sql(_LINE_LEAF, _DEPTH)}, a AS ({_tree_nodes(_DEPTH)}) SELECT (SELECT count(*) FROM t0) AS n_leaves, hash AS root FROM a WHERE level = (SELECT max(level) FROM a)")
 def merkle_root(spark, sf_dir):
-    return integrity.root(integrity.leaves(M.read(spark, sf_dir, "nation").select(F.col("n_name").alias("key"), F.col("n_name").alias("value"))))
+    return integrity.root(integrity.leaves(_lines(spark, sf_dir)))
+
+
+@query(f"WITH {_LINES}, {_tree_sql(_LINE_LEAF, _DEPTH)}, a AS ({_tree_nodes(_DEPTH)}) SELECT level, pos, hash FROM a WHERE level > 0")
+def merkle_nodes(spark, sf_dir):
+    return integrity.levels(integrity.leaves(_lines(spark, sf_dir))).where("level > 0")
 
 
 _RUN_LEAF = f"SELECT run_id AS run, row_number() OVER (PARTITION BY run_id ORDER BY k) - 1 AS pos, sha256(x.v) AS hash FROM (SELECT run_id, k, arg_max({{'v': v}}, seq) AS x FROM l GROUP BY run_id, k)"
@@ -506,18 +609,17 @@ def merkle_run_roots(spark, sf_dir):
     return integrity.root(integrity.leaves(newest, "run_id"), "run_id")
 
 
-_CHANGED = "CASE WHEN n_nationkey = 7 THEN 'changed' ELSE n_name END"
+_SPOILT = _LINE_LEAF.replace("sha256(v)", "sha256(CASE WHEN v::BIGINT % 4999 = 7 THEN 'changed' ELSE v END)")
 
 
 @query(
-    f"""WITH a AS (WITH {_tree_sql(_NATION_LEAF, 5)} SELECT * FROM ({_tree_nodes(5)})), b AS (WITH {_tree_sql(_NATION_LEAF.replace("sha256(n_name)", f"sha256({_CHANGED})"), 5)} SELECT * FROM ({_tree_nodes(5)}))
+    f"""WITH {_LINES}, a AS (WITH {_tree_sql(_LINE_LEAF, _DEPTH)} SELECT * FROM ({_tree_nodes(_DEPTH)})), b AS (WITH {_tree_sql(_SPOILT, _DEPTH)} SELECT * FROM ({_tree_nodes(_DEPTH)}))
     SELECT coalesce(a.level, b.level) AS level, coalesce(a.pos, b.pos) AS pos, a.hash AS hash_a, b.hash AS hash_b FROM a FULL JOIN b ON a.level = b.level AND a.pos = b.pos WHERE a.hash IS DISTINCT FROM b.hash"""
 )
 def merkle_diff(spark, sf_dir):
-    n = M.read(spark, sf_dir, "nation")
-    old = n.select(F.col("n_name").alias("key"), F.col("n_name").alias("value"))
-    new = n.select(F.col("n_name").alias("key"), F.when(F.col("n_nationkey") == 7, "changed").otherwise(F.col("n_name")).alias("value"))
-    return integrity.diff(integrity.levels(integrity.leaves(old)), integrity.levels(integrity.leaves(new)))
+    old = _lines(spark, sf_dir)
+    new = old.withColumn("value", F.when(F.col("value").cast("long") % 4999 == 7, "changed").otherwise(F.col("value")))
+    return integrity.diff(*[written(integrity.levels(integrity.leaves(x)), "nodes") for x in (old, new)])
 
 
 # The rate limiter.

@@ -6,10 +6,11 @@ checksum covers all after itself.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.plan import computed_once
+from ..operators.order import running
 from ..operators.view import view
 from ..schema import DELETE, PUT
 
@@ -71,12 +72,12 @@ def replay(records: DataFrame) -> DataFrame:
     return view(decode(records).where("valid"))
 
 
-def segments(log: DataFrame, size: int) -> DataFrame:
-    """``user, seq, bytes, segment``: each user's records in order, a new segment with every ``size`` bytes before."""
+def segments(log: DataFrame, size: int, *by: str) -> DataFrame:
+    """``user, seq, bytes, segment``: the log's records in order, or those of each group of ``by`` (such as the user), a new
+    segment with every ``size`` bytes before. The bytes before a record are summed by ranges, so no task holds the log."""
     n = (F.lit(HEAD) + F.octet_length("key") + F.octet_length(F.coalesce("value", F.lit("")))).cast("long")
-    before = Window.partitionBy("user").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    rows = log.select("user", "seq", n.alias("bytes"))
-    return rows.withColumn("segment", F.floor(F.coalesce(F.sum("bytes").over(before), F.lit(0)) / size).cast("long"))
+    rows = running(log.select("user", "seq", n.alias("bytes")), "bytes", *by, order="seq", into="before")
+    return rows.select("user", "seq", "bytes", F.floor(F.col("before") / size).cast("long").alias("segment"))
 
 
 def truncate(log: DataFrame, flushed_seq: int) -> DataFrame:

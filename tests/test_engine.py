@@ -11,7 +11,7 @@ from sediment.operators import compact, runs, view
 from sediment.operators.cursor import Cursor
 from sediment.schema import KVConfig, MUTATION
 
-BIG = KVConfig(wal_buffer_size=50)
+BIG = KVConfig(wal_buffer_size=50, memtable_size=1 << 20)
 
 
 def log(spark, rows):
@@ -108,8 +108,10 @@ def test_merge_policies(spark):
     )
     newest = {x.key: (x.op, x.value) for x in compact.merge(r).collect()}
     assert newest == {"a": ("PUT", "x"), "b": ("PUT", "q"), "c": ("DELETE", "")}
-    wins = {x.key: (x.op, x.value) for x in compact.merge(r, compact.TOMBSTONE_WINS).collect()}
-    assert wins == {"a": ("DELETE", ""), "b": ("PUT", "p"), "c": ("DELETE", "")}
+    for ids in ({"0": "0", "1": "1"}, {"0": "3f2a", "1": "b00c"}, {"0": "batch-000000000001", "1": "batch-000000000002"}, {"0": "99999999999", "1": "99999999999x"}):
+        named = r.replace(ids, subset=["run_id"])
+        wins = {x.key: (x.op, x.value) for x in compact.merge(named, compact.TOMBSTONE_WINS).collect()}
+        assert wins == {"a": ("DELETE", ""), "b": ("PUT", "p"), "c": ("DELETE", "")}
     assert {x.key for x in compact.merge(r, purge=True).collect()} == {"a", "b"}
     once = compact.merge(r)
     assert {tuple(x) for x in compact.merge(once).collect()} == {tuple(x) for x in once.collect()}
@@ -146,6 +148,85 @@ def test_store_life(spark, tmp_path):
         again.put("u", "", "x")
 
 
+def test_full_tables_are_flushed_and_levels_merged(spark, tmp_path):
+    e, truth = Engine(spark, str(tmp_path / "f"), KVConfig(wal_buffer_size=4, memtable_size=60, memtable_count=2, compaction_threshold=2, lsm_levels=2)), {}
+    for i in range(50):
+        k = f"key{i % 13:02d}"
+        if i % 7 == 3:
+            e.delete("u", k)
+            truth.pop(k, None)
+        else:
+            e.put("u", k, f"v{i}")
+            truth[k] = f"v{i}"
+    listed = e.listed().orderBy("level", "max_seq").collect()
+    assert listed and max(r.level for r in listed) >= 1 and sum(r.level == 0 for r in listed) < 2
+    assert e.log().count() + len(e.buffer) < 50 and as_dict(e.view()) == truth
+    for k in ("key00", "key03", "key10", "nokey"):
+        assert e.get("u", k) == truth.get(k)
+    assert {r.key: r.value for r in e.prefix_scan("key0", 1, 100).collect()} == {k: v for k, v in truth.items() if k.startswith("key0")}
+    assert {r.key: r.value for r in e.range_scan("key03", "key07", 1, 100).collect()} == {k: v for k, v in truth.items() if "key03" <= k <= "key07"}
+    again = Engine(spark, str(tmp_path / "f"), e.config)
+    again.put("u", "key00", "last")
+    assert again.get("u", "key00") == "last"
+
+
+def test_stored_manifest_gates_reads_and_shows_damage(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "m"), BIG)
+    for part in ("apple", "pear", "plum"):
+        e.write(puts(spark, [(f"{part}{i:02d}", f"{part}-{i}") for i in range(40)]))
+        e.flush()
+    listed = e.listed()
+    rows = {r.min_key[:-2]: r for r in listed.collect()}
+    assert set(rows) == {"apple", "pear", "plum"} and all(r.n == 40 and r.root and r.bloom and r.prefix_bloom for r in rows.values())
+    names = lambda d: {r.min_key[:-2] for r in d.collect()}
+    for part in rows:  # a key that was added is never missed
+        assert part in names(runs.may_hold_key(listed, f"{part}17")) and all(part in names(runs.may_hold_prefix(listed, p)) for p in (part[:3], part + "39"))
+    assert names(runs.may_hold_key(listed, "pear99")) == set() and names(runs.may_hold_prefix(listed, "plu")) == {"plum"}
+    inside = ["pear05x", "pear2z", "plum1q", "pear!"]  # the bounds alone would open a run for each
+    assert sum(not names(runs.may_hold_prefix(listed, p)) for p in inside) >= 3
+    assert all(r.valid for r in e.validate().collect())
+    assert as_dict(e.prefix_scan("pear0", 1, 100)) == {f"pear{i:02d}": f"pear-{i}" for i in range(10)} and e.get("u", "plum07") == "plum-7"
+    files = runs.may_hold(listed, "a", "b").inputFiles()
+    assert files and all("/runs-manifest/" in f for f in files)
+    bad = e.runs().withColumn("value", F.when(F.col("key") == "pear05", "other").otherwise(F.col("value")))
+    assert sorted(r.valid for r in runs.invalid(listed, bad).collect()) == [False, True, True]
+
+
+def test_a_stopped_compaction_keeps_the_live_rows(spark, tmp_path, monkeypatch):
+    e = Engine(spark, str(tmp_path / "x"), KVConfig(wal_buffer_size=50, memtable_size=1 << 20, compaction_threshold=3))
+    e.put("u", "gone", "old"), e.put("u", "kept", "1")
+    e.flush()
+    e.delete("u", "gone")
+    e.flush()
+    e.put("u", "kept", "2")
+    e.flush()
+    real, calls = compact.manifest_path, []
+
+    def stop(base):
+        # Asked for before each deletion; the work ends after the first run is gone.
+        calls.append(base)
+        if len(calls) > 1:
+            raise KeyboardInterrupt
+        return real(base)
+
+    monkeypatch.setattr(compact, "manifest_path", stop)
+    with pytest.raises(KeyboardInterrupt):
+        e.compact()
+    assert as_dict(e.view()) == {"kept": "2"} and e.runs().select("run_id").distinct().count() == 3
+    monkeypatch.undo()
+    e.compact()
+    assert as_dict(e.view()) == {"kept": "2"}
+
+
+def test_compaction_takes_a_policy(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "p"), BIG)
+    e.delete("u", "a")
+    e.flush()
+    e.put("u", "a", "later"), e.put("u", "b", "x")
+    e.flush()
+    assert e.compact("tombstone_wins") == 1 and as_dict(e.view()) == {"b": "x"}
+
+
 def test_bulk_write_and_multi_get(spark, tmp_path):
     e = Engine(spark, str(tmp_path / "b"), BIG)
     e.write(puts(spark, [(f"k{i}", "old") for i in range(20)]))
