@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -11,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..functions.shared import shared_dir
+from ..functions.shared import discard, settled, written  # noqa: F401
 
 #: Characters that separate words: space and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -36,46 +34,6 @@ def count_words(text: Column) -> Column:
     return F.size(words_of(text)).cast("long")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write a frame as a table in the shared folder and read it back: lineage ends here and a lost
-    executor costs nothing of what came before."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    _PATHS[id(back)] = (back, path)
-    return back
-
-
-#: Frames that ``written`` made, with their folders, until they are discarded.
-_PATHS: dict[int, tuple[DataFrame, str]] = {}
-
-
-def discard(*frames: DataFrame) -> None:
-    """Delete tables that ``written`` made, once nothing that is yet to run reads them."""
-    for df in frames:
-        _, path = _PATHS.pop(id(df), (None, None))
-        if path:
-            p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def settled(make: Callable[[], DataFrame], label: str) -> DataFrame:
-    """The frame that ``make`` gives, as a table; all other tables that were written for it are deleted."""
-    before = set(_PATHS)
-    out = written(make(), label)
-    discard(*[df for key, (df, _) in list(_PATHS.items()) if key not in before and df is not out])
-    return out
-
-
-@atexit.register
-def _discard_the_rest() -> None:
-    """Tables that a result still read go with the program, if its session is still there."""
-    spark = SparkSession.getActiveSession()
-    if spark is not None and spark.sparkContext._jsc is not None:
-        discard(*[df for df, _ in list(_PATHS.values())])
-
-
 @contextmanager
 def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
     """Actions inside send rows to Python in batches of at most ``rows``, which bounds a worker's memory."""
