@@ -58,9 +58,21 @@ def settled(make: Callable[[], DataFrame], label: str) -> DataFrame:
     return out
 
 
+_FOLDERS: list[str] = []
+
+
+def folder(spark: SparkSession, label: str) -> str:
+    """A folder of its own in the shared one, deleted when the program ends."""
+    _FOLDERS.append(f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}")
+    return _FOLDERS[-1]
+
+
 @atexit.register
 def _discard_the_rest() -> None:
     """Tables that a result still read go with the program, if its session is still there."""
     spark = SparkSession.getActiveSession()
     if spark is not None and spark.sparkContext._jsc is not None:
         discard(*[df for df, _ in list(_PATHS.values())])
+        for path in _FOLDERS:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

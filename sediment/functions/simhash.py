@@ -65,7 +65,9 @@ def near_pairs(hashes: DataFrame, threshold: int = MOST) -> DataFrame:
     """Pairs ``a, b, distance`` (a < b) of distinct hashes (``hash, rep``) at a distance of at most ``threshold`` <= 3.
 
     No pair is missed: each meets in one of twenty equi-joins on 31 to 33 of the 64 bits. Equal hashes are one row
-    here, so copies are never paired.
+    here, so copies are never paired. Distinct hashes that share a block differ in the other 31 to 33 bits alone, so of n
+    hashes spread evenly n^2 / 2^32 pairs at most meet there by chance; a family of many distinct hashes about one value
+    meets as often as it has members that agree on the block, most of which are results.
     """
     if not 0 <= threshold <= MOST:
         raise ValueError(f"a threshold lies in 0..{MOST}")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import bloom, cms, hll, serial, simhash
 from ..functions.hashing import seed_hex
 from ..functions.plan import spread
-from ..functions.shared import shared_dir, written
+from ..functions.shared import folder, written
 from ..operators import cache, compact, integrity, limiter, runs, view
 from ..schema import KVConfig
 from ..sources import mutations as M
@@ -147,7 +146,7 @@ def _stored(spark, sf_dir) -> str:
     """The runs of events in the shared folder, with ids that are no numbers; written once a session."""
     at = (spark.sparkContext.applicationId, sf_dir)
     if at not in _STORES:
-        base = f"{shared_dir(spark)}/runs-{uuid.uuid4().hex}"
+        base = f"{folder(spark, 'store')}/runs"
         log = M.event_runs(spark, sf_dir)
         runs.write_runs(log.withColumn("run_id", F.concat(F.lit("run-"), F.hex(F.col("run_id").cast("long") * 37))), base, CONFIG)
         _STORES[at] = base
@@ -351,7 +350,7 @@ def wal_truncate(spark, sf_dir):
 @query(f"WITH {_BY_USER}, {_LATEST} SELECT key, value FROM m WHERE op <> 'DELETE'")
 def stream_ingest(spark, sf_dir):
     """The log as a stream, written as runs by micro-batches, and the view of those runs."""
-    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    base = folder(spark, "stream")
     # A pattern, as a stream takes one for a file and for a folder alike.
     events = spark.readStream.schema(M.read(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")
     ingest.into_runs(M.user_log(events), f"{base}/runs", f"{base}/progress").awaitTermination()
