@@ -38,7 +38,8 @@ _RUN = rf"\x20(?={BEGINS})(?<={ENDS}\x20)"
 LAST = "0123"
 NODE, LEAF = 64, 32
 #: Rows of one range of ids that are sorted together to find each document's successor: so many, or more where there
-#: would be over ``RANGES`` ranges otherwise. The table of ranges has at most RANGES + COARSE + 1 rows of two numbers.
+#: would be over ``RANGES`` ranges otherwise. The table of ranges has at most that many rows and 512 more, and 256 for each
+#: id that holds a 256th of the rows: under 170,000 rows of some numbers and a digest.
 ROWS_A_RANGE = 250
 RANGES = 100_000
 #: Id ranges of equal depth, measured first; inside each, ids are cut evenly.
@@ -131,46 +132,60 @@ def _search(value: str, bounds: list[int], low: int = 0) -> str:
     return f"IF({value} >= {bounds[mid]}, {_search(value, bounds[mid + 1 :], low + mid + 1)}, {_search(value, bounds[:mid], low)})"
 
 
-def _ranges(ids: DataFrame) -> Column | None:
-    """The range of a ``doc_id``: ranges ascend with ids and hold about as many rows as said above where ids are spread
-    evenly within a 256th of them. None without ids."""
-    at = [i / COARSE for i in range(1, COARSE)]
-    lo, hi, n, cuts = ids.agg(F.min("doc_id"), F.max("doc_id"), F.count("*"), F.expr(f"percentile_approx(doc_id, array({', '.join(map(str, at))}), 25600)")).first()
+_DIGEST = "md5(text)"
+
+
+def _ranges(docs: DataFrame) -> tuple[Column, Column]:
+    """The range of a row, and for rows of ids that many share a digest that tells them apart, empty for others.
+
+    Ranges ascend with (id, digest), null ids last. They hold about as many rows as said above where ids are spread evenly
+    within a 256th of them. Rows without an id, and those of an id that two of the 256 cuts fall on, are dealt over 256
+    ranges by the first byte of their digest; only where there are such rows are texts read for it.
+    """
+    at = ", ".join(str(i / COARSE) for i in range(1, COARSE))
+    some = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("doc_id"), F.count("*"), F.expr(f"percentile_approx(doc_id, array({at}), 25600)"))
+    lo, hi, n, every, cuts = some.first()
+    byte = f"CAST(conv(substring({_DIGEST}, 1, 2), 16, 10) AS BIGINT)"
     if lo is None:
-        return None
-    cuts = sorted({c for c in cuts if c > lo})
-    starts = [lo, *cuts]
+        return F.expr(byte), F.expr(_DIGEST)
+    hot = {c for c in cuts if cuts.count(c) > 1}
+    starts = sorted({lo, *cuts} | {c + 1 for c in hot if c < hi})
     fine = max(1, -(-n // (len(starts) * max(ROWS_A_RANGE, -(-n // RANGES)))))
-    steps = [max(1, -(-(b - a) // fine)) for a, b in zip(starts, [*cuts, hi + 1], strict=True)]
-    coarse = _search("doc_id", cuts)
+    steps = [max(1, -(-(b - a) // fine)) for a, b in zip(starts, [*starts[1:], hi + 1], strict=True)]
+    width = max(fine, 256)
     pick = lambda numbers: f"array({', '.join(f'CAST({x} AS BIGINT)' for x in numbers)})[c]"
-    body = f"CAST(c AS BIGINT) * {fine} + CAST(floor((doc_id - {pick(starts)}) / {pick(steps)}) AS BIGINT)"
-    return F.expr(_let(coarse, "c", body))
+    within = f"CAST(floor((doc_id - {pick(starts)}) / {pick(steps)}) AS BIGINT)"
+    shared = "false"
+    if hot:
+        within = f"IF({pick([int(x in hot) for x in starts])} = 1, {byte}, {within})"
+        shared = f"doc_id IN ({', '.join(map(str, sorted(hot)))})"
+    place = _let(_search("doc_id", starts[1:]), "c", f"CAST(c AS BIGINT) * {width} + {within}")
+    if every > n:
+        place = f"IF(doc_id IS NULL, {len(starts) * width} + {byte}, {place})"
+        shared = f"(doc_id IS NULL OR {shared})"
+    return F.expr(place), F.expr("''" if shared == "false" else f"IF({shared}, {_DIGEST}, '')")
 
 
 def with_next(docs: DataFrame, carry: dict[str, Column]) -> DataFrame:
     """Rows ``doc_id``, ``carry`` and, prefixed ``next_``, the carried columns of the next row by
-    (doc_id, text), the last row's next being the first. Null ids come last.
+    (doc_id, digest of the text, text), the last row's next being the first. Null ids come last.
 
     Ids alone say which row starts each range; that row is dealt to the range before as well, so the
     window over one range sees the successor of its last row. Texts are shuffled once.
     """
-    bucket = _ranges(docs.select("doc_id"))
-    bucket = F.lit(0).cast("long") if bucket is None else F.coalesce(bucket, F.lit(1 << 62))
-    d = docs.withColumn("__range", bucket)
-    firsts = d.select("doc_id", "__range").groupBy("__range").agg(F.min("doc_id").alias("__first"))
+    place, tie = _ranges(docs)
+    d = docs.select("doc_id", "text", place.alias("__range"), tie.alias("__tie"))
+    firsts = d.select("doc_id", "__range", "__tie").groupBy("__range").agg(F.min(F.struct("doc_id", "__tie")).alias("__first"))
     chain, wrap = Window.orderBy("__range"), Window.partitionBy()
-    firsts = firsts.select(
-        F.col("__first"), F.coalesce(F.lag("__range").over(chain), F.max("__range").over(wrap)).alias("__before")
-    )
+    firsts = firsts.select("__first", F.coalesce(F.lag("__range").over(chain), F.max("__range").over(wrap)).alias("__before"))
     first = F.broadcast(firsts)  # of bounded size, see RANGES
-    d = d.join(first, d["doc_id"].eqNullSafe(first["__first"]), "left")
+    d = d.join(first, d["doc_id"].eqNullSafe(first["__first.doc_id"]) & (d["__tie"] == first["__first.__tie"]), "left")
     own = F.struct(F.col("__range").alias("r"), F.lit(False).alias("guest"))
     guest = F.struct(F.col("__before").alias("r"), F.lit(True).alias("guest"))
     d = d.withColumn("__at", F.explode(F.when(F.col("__before").isNull(), F.array(own)).otherwise(F.array(own, guest))))
-    d = d.select("doc_id", "text", "__at.r", "__at.guest").repartition("r")
+    d = d.select("doc_id", "text", "__at.r", "__at.guest", F.expr(_DIGEST).alias("__digest")).repartition("r")
     d = d.select("*", *[c.alias(k) for k, c in carry.items()])
-    w = Window.partitionBy("r").orderBy("guest", F.col("doc_id").asc_nulls_last(), "text")
+    w = Window.partitionBy("r").orderBy("guest", F.col("doc_id").asc_nulls_last(), "__digest", "text")
     following = [F.lead(k).over(w).alias(f"next_{k}") for k in carry]
     return d.select("doc_id", "guest", *carry, *following).where(~F.col("guest")).drop("guest")
 
@@ -225,7 +240,7 @@ _CUT_SQL = "p"
 for _ in range(2):  # the second time for words of one letter between two cuts
     _CUT_SQL = f"regexp_replace({_CUT_SQL}, '({ENDS}) ({BEGINS})', '\\1' || chr(1) || '\\2', 'g')"
 ORACLE = f"""
-WITH d AS (SELECT row_number() OVER (ORDER BY doc_id NULLS LAST, coalesce(text, '')) AS k, doc_id, coalesce(text, '') AS t FROM documents),
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id NULLS LAST, md5(coalesce(text, '')), coalesce(text, '')) AS k, doc_id, coalesce(text, '') AS t FROM documents),
 o AS (SELECT *, coalesce(lead(t) OVER (ORDER BY k), first(t) OVER (ORDER BY k)) AS nt, length(t)::BIGINT AS n_chars FROM d),
 e AS (SELECT *, substr(t, 1, n_chars - n_chars // 4) || substr(nt, 1, n_chars // 4) AS et FROM o),
 x AS (SELECT k, 0 AS v, t AS s FROM e UNION ALL SELECT k, 1, et FROM e UNION ALL SELECT k, 2, nt FROM e),

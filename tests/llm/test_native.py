@@ -60,10 +60,10 @@ def compared(a, b):
 
 
 def brute(rows):
-    order = sorted(((d is None, d or 0, t or "") for d, t in rows))
+    order = sorted(((d is None, d or 0, hashlib.md5((t or "").encode()).hexdigest(), t or "") for d, t in rows))
     out = []
-    for k, (null, d, t) in enumerate(order):
-        following = order[(k + 1) % len(order)][2]
+    for k, (null, d, _, t) in enumerate(order):
+        following = order[(k + 1) % len(order)][3]
         cut = len(t) // 4
         edited = t[: len(t) - cut] + following[:cut]
         a, b, c = tree(t), tree(edited), tree(following)
@@ -106,6 +106,19 @@ def test_ids_far_apart_share_no_range(spark):
     assert got == {a: dict(rows)[b] for a, b in zip(ids, ids[1:] + ids[:1])}
 
 
+def test_ids_that_many_rows_share_are_split(spark):
+    rng = random.Random(12)
+    words = lambda: " ".join(rng.choice(["the", "river", "house", "night", "of"]) for _ in range(rng.randint(1, 9)))
+    rows = [(None, words()) for _ in range(400)] + [(77, words()) for _ in range(400)] + [(i, words()) for i in range(0, 400)] + [(77, "same")] * 20
+    rng.shuffle(rows)
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    place, tie = P._ranges(d)
+    counts = {(r.i, r.p): r["count"] for r in d.select(F.col("doc_id").alias("i"), place.alias("p")).groupBy("i", "p").count().collect()}
+    assert max(n for (i, _), n in counts.items() if i is None) < 20 and len([1 for i, _ in counts if i == 77]) > 50
+    got = [tuple(r) for r in P.op1_fingerprint(d).collect()]
+    assert sorted(got, key=key) == sorted(brute(rows), key=key)
+
+
 def edits(spark, pairs):
     d = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a string, b string")
     d = d.select("i", P.tree("a").alias("a"), P.tree("b").alias("b"))
