@@ -238,6 +238,7 @@ def test_sketches_as_bytes(spark):
 def test_gate_names_every_run_that_holds_a_key(spark):
     rows = [(i % 4, f"k{i * 13 % 101}") for i in range(200)]
     d = spark.createDataFrame(rows, "run int, key string")
-    m, k = bloom.bits_for(50, 0.01), bloom.hashes_for(50, bloom.bits_for(50, 0.01))
-    got = {(r.run, r.key) for r in bloom.gate(d, "run", strings(spark, [f"k{i}" for i in range(150)]), m, k).collect()}
+    bounds = d.groupBy("run").agg(F.min("key").alias("min_key"), F.max("key").alias("max_key"))
+    filters = bloom.packed(d, 0.01, 1 << 20, "run").join(bounds, "run")
+    got = {(r.run, r.key) for r in bloom.gate(filters, "run", strings(spark, [f"k{i}" for i in range(150)]), filters.first().k).collect()}
     assert set(rows) <= got and len(got) < len(set(rows)) + 40
